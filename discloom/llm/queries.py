@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from discloom.llm import packing, survivor
+from discloom.llm import leaks, packing, survivor
 from discloom.session import table
 
 QUERIES = {
     "p6_found": lambda s, d: survivor.survivors(table(s, d, "fdds")),
     "p6_untimed_latest": lambda s, d: survivor.untimed_latest(table(s, d, "fdds")),
+    "p8_found": lambda s, d: leaks.leaks(table(s, d, "documents"), table(s, d, "eval_items")),
     "p7_packed": lambda s, d: packing.pack(table(s, d, "documents")),
 }
 ORACLE = {"p6_found": survivor.survivors_sql()}
