@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from discloom.llm import leaks, packing, survivor
+from discloom.llm import leaks, packing, subjects, survivor
 from discloom.session import table
 
+
+def _subject_tables(s, d):
+    return table(s, d, "documents"), table(s, d, "subjects"), table(s, d, "doc_labels")
+
+
 QUERIES = {
     "p6_found": lambda s, d: survivor.survivors(table(s, d, "fdds")),
     "p6_untimed_latest": lambda s, d: survivor.untimed_latest(table(s, d, "fdds")),
     "p8_found": lambda s, d: leaks.leaks(table(s, d, "documents"), table(s, d, "eval_items")),
     "p7_packed": lambda s, d: packing.pack(table(s, d, "documents")),
+    "p9_found": lambda s, d: subjects.subjects_of(*_subject_tables(s, d)),
+    "p9_composition": lambda s, d: subjects.composition(*_subject_tables(s, d)),
 }
 ORACLE = {"p6_found": survivor.survivors_sql()}
