@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from discloom.llm import leaks, packing, subjects, survivor
+from discloom.llm import leaks, packing, subjects, survivor, variants
 from discloom.session import table
 
 
@@ -11,6 +11,7 @@ def _subject_tables(s, d):
 
 
 QUERIES = {
+    "p5_found": lambda s, d: variants.links(table(s, d, "franchisors"), table(s, d, "filing_metadata")),
     "p6_found": lambda s, d: survivor.survivors(table(s, d, "fdds")),
     "p6_untimed_latest": lambda s, d: survivor.untimed_latest(table(s, d, "fdds")),
     "p8_found": lambda s, d: leaks.leaks(table(s, d, "documents"), table(s, d, "eval_items")),
