@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from discloom.llm import leaks, packing, subjects, survivor, variants
+from discloom.llm import crossmatch, leaks, packing, subjects, survivor, variants
 from discloom.session import table
 
 
@@ -11,6 +11,8 @@ def _subject_tables(s, d):
 
 
 QUERIES = {
+    "p3_found": lambda s, d: crossmatch.found(table(s, d, "wi_filings"), table(s, d, "mn_filings")),
+    "p3_matches": lambda s, d: crossmatch.confident(table(s, d, "wi_filings"), table(s, d, "mn_filings")),
     "p5_found": lambda s, d: variants.links(table(s, d, "franchisors"), table(s, d, "filing_metadata")),
     "p6_found": lambda s, d: survivor.survivors(table(s, d, "fdds")),
     "p6_untimed_latest": lambda s, d: survivor.untimed_latest(table(s, d, "fdds")),
