@@ -78,6 +78,14 @@ def abbreviates(short: str, word: str) -> bool:
     return all(c in it for c in short)
 
 
+def _letters(s: str) -> int:
+    """The letters of a word as bits."""
+    m = 0
+    for c in s:
+        m |= 1 << (ord(c) & 63)
+    return m
+
+
 def _closest(token: str, words: tuple[str, ...]) -> str | None:
     if token in words:
         return token
@@ -87,9 +95,11 @@ def _closest(token: str, words: tuple[str, ...]) -> str | None:
         if hits:
             return min(hits, key=lambda w: (not w.startswith(token), len(w), w))
     if len(token) >= 5:
+        mine = _letters(token)
         for k in (1, 2) if len(token) >= 8 else (1,):
             for w in words:
-                if len(w) >= 4 and within(token, w, k):
+                # An edit changes two letters of the set at most.
+                if abs(len(w) - len(token)) <= k and len(w) >= 4 and (mine ^ _letters(w)).bit_count() <= 2 * k and within(token, w, k):
                     return w
     return None
 
@@ -167,6 +177,16 @@ def is_initials(text: str, core: str) -> bool:
     return bool(core) and 2 <= len(letters) <= 6 and letters.isupper() and " " not in text.strip()
 
 
+def _pet_form(s: str, word: str) -> bool:
+    """Whether s is the beginning of a word with the ending of a pet form."""
+    for end in ("iess", "yss", "oss", "ies", "ys", "os", "es", "ie", "s", "y", "o", ""):
+        if s.endswith(end):
+            stem = s[: len(s) - len(end)]
+            if len(stem) >= 3 and word.startswith(stem):
+                return True
+    return False
+
+
 def fits(short: list[str], short_trade: str, core: list[str], trade: str, raw: str) -> bool:
     """Whether a shortened brand can stand for a full one of the same company:
     initials, beginnings of its words, or a pet form of its first word."""
@@ -189,11 +209,11 @@ def fits(short: list[str], short_trade: str, core: list[str], trade: str, raw: s
                 if len(rest) <= 1 + len(tl) and len(s) >= min(2, len(core)) and all(c in tl or c in full for c in rest):
                     if sum(c in letters for c in s) >= min(len(s), len(letters)):
                         return True
-        for end in ("iess", "yss", "oss", "ies", "ys", "os", "es", "ie", "s", "y", "o", ""):
-            stem = s[: len(s) - len(end)] if end and s.endswith(end) else (s if not end else "")
-            if len(stem) >= 3 and any(w.startswith(stem) for w in core):
-                return True
-    if len(short) == len(core) and all(a.startswith(b) or b.startswith(a) or within(a, b, 2) for a, b in zip(short, core, strict=True)):
+        if any(_pet_form(s, w) for w in core):
+            return True
+    if len(short) == len(core) and all(
+        a.startswith(b) or b.startswith(a) or within(a, b, 2) or _pet_form(a, b) or _pet_form(b, a) for a, b in zip(short, core, strict=True)
+    ):
         return True
     return within("".join(sorted(short)), "".join(sorted(core)), 4) and len(full) >= 12 and len(joined) >= 8
 
@@ -206,7 +226,7 @@ BUCKET_NAMES = 2000
 
 def bound(n: int) -> int:
     """Edits allowed in a name of n letters."""
-    return 0 if n < 7 else 1 if n < 10 else 2 if n < 16 else 3
+    return 0 if n < 7 else 1 if n < 10 else 2
 
 
 def segments(n: int, k: int) -> list[tuple[int, int]]:
@@ -229,15 +249,22 @@ def shards_of(s: str) -> Iterator[tuple[int, int, str]]:
 
 def probes_of(s: str) -> Iterator[tuple[int, int, str]]:
     """Shard keys that hold every stored name no longer than ``s`` within the
-    bound of the longer one (positions as far as the edits left and right of
-    the piece allow)."""
+    bound of ``s``.
+
+    Piece i of the stored name, if it is the first that survives, has at most
+    i edits to its left and k - i to its right, which limits how far it moved.
+    """
     n = len(s)
     k = bound(n)
     seen = set()
     for m in range(max(1, n - k), n + 1):
-        for i, (at, size) in enumerate(segments(m, bound(m))):
-            # The stored name was cut for its own bound; k edits may be spread over fewer pieces, so all shifts stay.
-            for p in range(max(0, at - k), min(n - size, at + k) + 1):
+        longer = n - m
+        cut = bound(m)
+        for i, (at, size) in enumerate(segments(m, cut)):
+            # Where the stored name was cut for fewer edits than k, all moves stay.
+            left, right = (i, k - i) if cut == k else (k, k)
+            low, high = max(0, at - left, at + longer - right), min(n - size, at + left, at + longer + right)
+            for p in range(low, high + 1):
                 key = (m, i, s[p : p + size])
                 if key not in seen:
                     seen.add(key)
@@ -319,8 +346,7 @@ def trie_join(names: DataFrame, buckets: int | None = None) -> DataFrame:
                         rows.append((zlib.crc32(shard.encode()) % n_buckets, shard, False, name, form))
             yield pd.DataFrame(rows, columns=["bucket", "shard", "stored", "name", "form"])
 
-    spreaded = own.mapInPandas(spread, schema)
-    # Probes of shards that store nothing are dropped before the shuffle's reader sees them.
+    spreaded = own.repartition(n_buckets, "name").mapInPandas(spread, schema)
     out_schema = "a string, b string, distance int"
 
     def join(pdf):
@@ -336,12 +362,16 @@ def trie_join(names: DataFrame, buckets: int | None = None) -> DataFrame:
             t.add(form)
             names_of.setdefault((shard, form), []).append(name)
         best: dict[tuple[str, str], int] = {}
+        walked: dict[tuple[str, str], list] = {}
         qs = pdf[~pdf["stored"]]
         for shard, name, form in zip(qs["shard"], qs["name"], qs["form"], strict=True):
             t = tries.get(shard)
             if t is None:
                 continue
-            for other, d in t.near(form, bound(len(form))):
+            near = walked.get((shard, form))
+            if near is None:
+                near = walked[(shard, form)] = t.near(form, bound(len(form)))
+            for other, d in near:
                 for b in names_of[(shard, other)]:
                     if b != name:
                         key = (name, b) if name < b else (b, name)

@@ -58,7 +58,8 @@ def parse(rows: DataFrame) -> DataFrame:
                 out.append((key, " ".join(core), trade, comp, host, bool(cut)))
             yield pd.DataFrame(out, columns=PARSED.names)
 
-    return rows.select("key", "brand", "legal", "site").mapInPandas(run, PARSED)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select("key", "brand", "legal", "site").repartition(n, "key").mapInPandas(run, PARSED)
 
 
 def _centers(counts: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
