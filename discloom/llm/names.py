@@ -215,6 +215,11 @@ def fits(short: list[str], short_trade: str, core: list[str], trade: str, raw: s
         a.startswith(b) or b.startswith(a) or within(a, b, 2) or _pet_form(a, b) or _pet_form(b, a) for a, b in zip(short, core, strict=True)
     ):
         return True
+    if len(core) < len(short) <= len(core) + 2 and trade:
+        # Words left over may be a trade too badly spelt to be known as one.
+        rest = short[len(core) :]
+        if all(a == b or within(a, b, 2) for a, b in zip(short, core, strict=False)) and all(any(within(r, t, 3) for t in trade.split()) for r in rest):
+            return True
     return within("".join(sorted(short)), "".join(sorted(core)), 4) and len(full) >= 12 and len(joined) >= 8
 
 
