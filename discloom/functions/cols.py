@@ -223,8 +223,8 @@ def any_date(c: Column) -> Column:
     """A date from month names, M/D/Y (two-digit years are 20yy) or ISO."""
     t = F.trim(c)
     two = F.regexp_replace(t, r"^(\d{1,2})[/-](\d{1,2})[/-](\d{2})$", "$1/$2/20$3")
-    forms = [F.try_to_date(t, F.lit("yyyy-MM-dd")), F.try_to_date(F.replace(two, F.lit("-"), F.lit("/")), F.lit("M/d/yyyy"))]
-    forms += [F.try_to_date(t, F.lit(p)) for p in ("MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy")]
+    forms = [F.try_to_date(t, "yyyy-MM-dd"), F.try_to_date(F.replace(two, F.lit("-"), F.lit("/")), "M/d/yyyy")]
+    forms += [F.try_to_date(t, p) for p in ("MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy")]
     return F.coalesce(*forms)
 
 

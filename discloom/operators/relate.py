@@ -120,7 +120,7 @@ def other_medians(df: DataFrame, key: str, group: str, value: str) -> DataFrame:
     m, i = F.col("__n"), F.col("__i")
     h = F.floor((m - 1) / 2)
     # Ranks among the others: those after the row's own move up by one.
-    at = lambda r: F.when(F.lit(r) < 0, None).otherwise(F.coalesce(*[F.when(F.lit(r) == j - 1, F.col(f"__m{j}")) for j in range(4)]))
+    at = lambda r: F.col(f"__m{r + 1}")
     left_out = i.isNotNull()
     odd = m % 2 == 1
     pick = lambda d: F.when(i <= h + d, at(d + 1)).otherwise(at(d))  # noqa: E731  value at group rank h+d among the others
