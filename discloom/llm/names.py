@@ -245,10 +245,16 @@ def segments(n: int, k: int) -> list[tuple[int, int]]:
     return out
 
 
+def pieces_of(n: int) -> int:
+    """For how many edits a stored name of n letters is cut: the most that any
+    name it is close to may ask for."""
+    return max(bound(m) for m in range(n, n + 3) if m - n <= bound(m))
+
+
 def shards_of(s: str) -> Iterator[tuple[int, int, str]]:
     """Shard keys under which a name is stored."""
     n = len(s)
-    for i, (at, size) in enumerate(segments(n, bound(n))):
+    for i, (at, size) in enumerate(segments(n, pieces_of(n))):
         yield n, i, s[at : at + size]
 
 
@@ -264,10 +270,8 @@ def probes_of(s: str) -> Iterator[tuple[int, int, str]]:
     seen = set()
     for m in range(max(1, n - k), n + 1):
         longer = n - m
-        cut = bound(m)
-        for i, (at, size) in enumerate(segments(m, cut)):
-            # Where the stored name was cut for fewer edits than k, all moves stay.
-            left, right = (i, k - i) if cut == k else (k, k)
+        for i, (at, size) in enumerate(segments(m, pieces_of(m))[: k + 1]):
+            left, right = i, k - i
             low, high = max(0, at - left, at + longer - right), min(n - size, at + left, at + longer + right)
             for p in range(low, high + 1):
                 key = (m, i, s[p : p + size])

@@ -129,8 +129,10 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", sizes: Sequence
     pieces = counts.select(key, "n_tokens", F.posexplode(starts).alias("piece_no", "token_start")).select(
         key, "piece_no", "token_start", F.least(F.lit(top).cast("bigint"), F.col("n_tokens") - F.col("token_start")).alias("n_tokens")
     )
-    # The number of shards follows the input's bytes, so their size is bounded.
-    shards = max(1, _estimated_tokens(df) // shard_tokens)
+    # The number of shards follows the length of all texts (a token has four
+    # characters or so), so their size is bounded.
+    total = df.agg(F.sum(F.length(text))).first()[0] or 0
+    shards = max(1, int(total // 4 // shard_tokens))
     spread = pieces.withColumn("__shard", F.pmod(F.xxhash64(key, "piece_no"), F.lit(shards)).cast("int"))
     schema = T.StructType(
         [
@@ -166,13 +168,6 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", sizes: Sequence
     return spread.groupBy("__shard").applyInPandas(fill, schema)
 
 
-def _estimated_tokens(df: DataFrame) -> int:
-    """A bound on tokens from the plan's size estimate (four bytes of text to a
-    token, files about a third of the text)."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) // 2
-
-
 def container_load(packed: DataFrame) -> DataFrame:
     """container, capacity, n_items, used, unused."""
     return packed.groupBy("container", "capacity").agg(
