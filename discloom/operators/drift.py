@@ -27,6 +27,9 @@ NESTED = "records"
 #: A profile agreement from which two fields hold the same content, and the
 #: weight of the names beside it.
 CONTENT_LEAST, NAME_WEIGHT = 0.45, 0.35
+#: Names are different fields if they stand together in this share of the files
+#: of the rarer one.
+TOGETHER = 0.05
 
 
 _KINDS = {
@@ -197,11 +200,17 @@ def changes(df: DataFrame, nested: str = NESTED) -> DataFrame:
 
     # Names that stand in one file together are different fields.
     own = stats.select("item_kind", "feed_id", "file_no", "field")
+    sizes = own.groupBy("item_kind", "field").agg(F.count(F.lit(1)).alias("files"))
+    size_of = lambda name: sizes.select("item_kind", F.col("field").alias(name), F.col("files").alias(f"n_{name}"))
     together = (
         names.join(own.withColumnRenamed("field", "field_old"), ["item_kind", "field_old"])
         .join(own.withColumnRenamed("field", "field_new"), ["item_kind", "feed_id", "file_no", "field_new"], "left_semi")
+        .groupBy("item_kind", "field_old", "field_new")
+        .agg(F.count(F.lit(1)).alias("both"))
+        .join(size_of("field_old"), ["item_kind", "field_old"])
+        .join(size_of("field_new"), ["item_kind", "field_new"])
+        .filter(F.col("both") >= TOGETHER * F.least("n_field_old", "n_field_new"))
         .select("item_kind", "field_old", "field_new")
-        .distinct()
     )
     apart = write_cut(names.join(together, ["item_kind", "field_old", "field_new"], "left_anti"), "drift-names")
 
