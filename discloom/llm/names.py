@@ -227,6 +227,8 @@ def fits(short: list[str], short_trade: str, core: list[str], trade: str, raw: s
 
 #: Names to a bucket; the number of buckets follows the number of names.
 BUCKET_NAMES = 2000
+#: Stored names of one shard that a task takes; beyond, the shard is split.
+SHARD_NAMES = 5000
 
 
 def bound(n: int) -> int:
@@ -323,40 +325,52 @@ class Trie:
         return out
 
 
-def trie_join(names: DataFrame, buckets: int | None = None) -> DataFrame:
+def trie_join(names: DataFrame, buckets: int | None = None, shard_names: int = SHARD_NAMES) -> DataFrame:
     """a, b, distance: pairs of different names (column ``name``, words parted
     by spaces) whose letters are within the bound in some order of words.
 
     Names are sharded by surviving pieces; shards are dealt to buckets by hash
-    and each bucket builds the tries of its shards.  A piece that many names
-    share only makes its trie larger: walks stay bounded by the automaton.
+    and each bucket builds the tries of its shards.  A piece that more than
+    ``shard_names`` names share is split into a grid of cells (stored names by
+    row, probing ones by column), so no task gets it whole and no pair is lost.
     Repeated and null names are taken once and not at all.
     """
     own = names.select("name").filter(F.length("name") > 0).distinct()
-    schema = "bucket int, shard string, stored boolean, name string, form string"
     n_buckets = buckets or max(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")), own.count() // BUCKET_NAMES)
 
-    def spread(batches):
-        import zlib
-
-        import pandas as pd
-
-        for pdf in batches:
-            rows = []
-            for name in pdf["name"]:
-                words = name.split()
-                s = "".join(words)
-                for n, i, piece in shards_of(s):
-                    shard = f"{n}.{i}.{piece}"
-                    rows.append((zlib.crc32(shard.encode()) % n_buckets, shard, True, name, s))
-                for form in orders(words):
-                    for n, i, piece in probes_of(form):
-                        shard = f"{n}.{i}.{piece}"
-                        rows.append((zlib.crc32(shard.encode()) % n_buckets, shard, False, name, form))
-            yield pd.DataFrame(rows, columns=["bucket", "shard", "stored", "name", "form"])
-
-    spreaded = own.repartition(n_buckets, "name").mapInPandas(spread, schema)
-    out_schema = "a string, b string, distance int"
+    def spread(probing: bool):
+        def run(batches):
+            import pandas as pd
+
+            for pdf in batches:
+                rows = []
+                for name in pdf["name"]:
+                    words = name.split()
+                    s = "".join(words)
+                    for n, i, piece in shards_of(s):
+                        rows.append((f"{n}.{i}.{piece}", True, name, s))
+                    for form in orders(words) if probing else ():
+                        for n, i, piece in probes_of(form):
+                            rows.append((f"{n}.{i}.{piece}", False, name, form))
+                yield pd.DataFrame(rows, columns=["shard", "stored", "name", "form"])
+
+        return run
+
+    schema = "shard string, stored boolean, name string, form string"
+    even = own.repartition(n_buckets, "name")
+    hot = (
+        even.mapInPandas(spread(False), schema)
+        .groupBy("shard")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .filter(F.col("n") > shard_names)
+        .select("shard", F.ceil(F.col("n") / shard_names).cast("int").alias("parts"))
+    )
+    rows = even.mapInPandas(spread(True), schema).join(hot, "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumns({"mine": F.pmod(F.xxhash64("name"), "parts"), "other": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))})
+    cell = F.when(F.col("stored"), F.concat_ws(".", "mine", "other")).otherwise(F.concat_ws(".", "other", "mine"))
+    rows = rows.select(
+        F.when(F.col("parts") > 1, F.concat_ws("#", "shard", cell)).otherwise(F.col("shard")).alias("shard"), "stored", "name", "form"
+    ).withColumn("bucket", F.pmod(F.xxhash64("shard"), F.lit(n_buckets)).cast("int"))
 
     def join(pdf):
         import pandas as pd
@@ -388,5 +402,5 @@ def trie_join(names: DataFrame, buckets: int | None = None) -> DataFrame:
                             best[key] = d
         return pd.DataFrame([(a, b, d) for (a, b), d in best.items()], columns=["a", "b", "distance"])
 
-    pairs = spreaded.groupBy("bucket").applyInPandas(join, out_schema)
+    pairs = rows.groupBy("bucket").applyInPandas(join, "a string, b string, distance int")
     return pairs.groupBy("a", "b").agg(F.min("distance").alias("distance"))
