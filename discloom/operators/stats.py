@@ -95,9 +95,8 @@ def with_parents(df: DataFrame, leaf: str, prefix: str, sep: str = "-") -> DataF
 
 def z_badges(df: DataFrame, value: str, polarity: int = 1, name: str = "z") -> DataFrame:
     """z-score of a value over all rows, sign by polarity."""
-    s = df.agg(F.avg(value).alias("__m"), F.stddev_pop(value).alias("__s"))
-    # One row of totals beside every row.
-    return df.join(F.broadcast(s)).withColumn(name, F.try_divide(F.col(value) - F.col("__m"), F.col("__s")) * polarity).drop("__m", "__s")
+    m, sd = df.agg(F.avg(value), F.stddev_pop(value)).first()
+    return df.withColumn(name, F.try_divide(F.col(value) - F.lit(m), F.lit(sd)) * polarity)
 
 
 def composite_score(scores: dict[str, Column], weights: dict[str, float]) -> Column:
