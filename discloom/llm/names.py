@@ -215,6 +215,14 @@ def fits(short: list[str], short_trade: str, core: list[str], trade: str, raw: s
         a.startswith(b) or b.startswith(a) or within(a, b, 2) or _pet_form(a, b) or _pet_form(b, a) for a, b in zip(short, core, strict=True)
     ):
         return True
+    if len(short) >= 2:
+        # The first word in a pet form, the last whole: beside a word left out
+        # before them, or written as one word.
+        tail = core[-len(short) :]
+        if len(core) == len(short) + 1 and within(short[-1], tail[-1], 1) and all(_pet_form(a, b) or within(a, b, 2) for a, b in zip(short, tail, strict=True)):
+            return True
+        if len(core) == 1 and len(short) == 2 and len(short[1]) >= 5 and full.endswith(short[1]) and _pet_form(short[0], full):
+            return True
     if len(core) < len(short) <= len(core) + 2 and trade:
         # Words left over may be a trade too badly spelt to be known as one.
         rest = short[len(core) :]

@@ -159,12 +159,18 @@ def systems(rows: DataFrame) -> DataFrame:
     cands = cands.filter(F.col("own").isNull() | ((F.col("system") != F.col("own")) & (F.col("n") >= 1)))
 
     @F.pandas_udf("boolean")
-    def can_stand(core, rtrade, center, trade):
+    def can_stand(core, rtrade, center, trade, lone):
         import pandas as pd
 
-        return pd.Series([fits(a.split(), b, c.split(), d, a) for a, b, c, d in zip(core, rtrade, center, trade, strict=True)])
+        # Of two lone spellings either may be the cut-down one.
+        return pd.Series(
+            [
+                fits(a.split(), b, c.split(), d, a) or (bool(x) and fits(c.split(), d, a.split(), b, c))
+                for a, b, c, d, x in zip(core, rtrade, center, trade, lone, strict=True)
+            ]
+        )
 
-    good = cands.filter((F.col("via") == 2) | can_stand("core", "rtrade", "center", "trade"))
+    good = cands.filter((F.col("via") == 2) | can_stand("core", "rtrade", "center", "trade", F.col("own").isNotNull()))
     # Lone spellings move only to a larger system, or the smaller name of two equals.
     good = good.join(size.select(F.col("system").alias("own"), F.col("n").alias("own_n")), "own", "left")
     good = good.filter(F.col("own").isNull() | (F.col("n") > F.col("own_n")) | ((F.col("n") == F.col("own_n")) & (F.col("system") < F.col("own"))))
