@@ -347,6 +347,13 @@ _ARROW_LEAVES = pa.list_(
 )
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches in parts, so that the trees of few records are held at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def shred(df: DataFrame, key: str = "raw_id", payload: str = "payload", keep: Sequence[str] = ()) -> DataFrame:
     """One row per record: key, kept columns, ``state`` and its leaf columns.
 
@@ -358,7 +365,7 @@ def shred(df: DataFrame, key: str = "raw_id", payload: str = "payload", keep: Se
     schema = T.StructType([src.schema[c] for c in cols] + SHREDDED.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             states, leaves = [], []
             for text in b.column(b.schema.get_field_index("__payload")).to_pylist():
                 tree, state = read_json(text)
@@ -488,7 +495,7 @@ def assemble(shredded: DataFrame, key: str = "raw_id", children: Sequence[Child]
     kinds = tuple(children)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             ids, rows = [], []
             for i, leaves in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 tree = {tuple(x["path"]): (x["reps"], x["defs"], x["vals"]) for x in leaves or ()}
