@@ -100,7 +100,7 @@ def systems(rows: DataFrame) -> DataFrame:
     comp_counts = p.filter(F.col("comp") != "").groupBy(F.col("comp").alias("name")).agg(F.count(F.lit(1)).alias("n"))
     comp_edges = _both(trie_join(comp_counts))
     comps = _centers(comp_counts, comp_edges)
-    p = p.join(comps.select(F.col("name").alias("comp"), F.col("center").alias("cid")), "comp", "left")
+    p = write_cut(p.join(comps.select(F.col("name").alias("comp"), F.col("center").alias("cid")), "comp", "left"), "companies")
 
     full = p.filter((F.col("core") != "") & ~F.col("short"))
     core_counts = full.groupBy(F.col("core").alias("name")).agg(F.count(F.lit(1)).alias("n"))
@@ -118,7 +118,7 @@ def systems(rows: DataFrame) -> DataFrame:
     )
     unknown = like.join(on(with_comp, "a").distinct(), "a", "left_anti")
     turned = like.filter(F.col("distance") == 0)
-    allowed = shared.unionByName(unknown).unionByName(turned).distinct()
+    allowed = write_cut(shared.unionByName(unknown).unionByName(turned).distinct(), "allowed")
     cores = _centers(core_counts, allowed)
     q = full.join(cores.select(F.col("name").alias("core"), F.col("center")), "core")
 
@@ -180,6 +180,7 @@ def systems(rows: DataFrame) -> DataFrame:
         F.min("system").alias("one"),
         F.min(F.when(F.col("via") == 2, F.col("system"))).alias("site_one"),
     )
+    pick = write_cut(pick, "picked")
     moved = pick.select("key", F.when(F.col("k") == 1, F.col("one")).when(F.col("k_site") == 1, F.col("site_one")).alias("to")).filter(F.col("to").isNotNull())
     # Shortened brands whose company names nothing fuller agree among themselves.
     left_over = short.join(moved, "key", "left_anti").filter((F.col("core") != "") & F.col("cid").isNotNull())
