@@ -3,7 +3,8 @@
 Distinct brand cores and company cores are joined by tries (names.trie_join);
 each spelling then goes to the most frequent spelling near it, if the rows
 agree on the company.  Brands cut down to initials, pet forms or beginnings,
-and rows without a brand, are settled by their company's or website's system.
+rows without a brand, and every system beside a larger one of its company or
+website are settled by that company's or website's system.
 
 All steps are equi-joins on names or systems, so nothing is compared within a
 group; the only pairs formed are those of the result.
@@ -144,50 +145,75 @@ def systems(rows: DataFrame) -> DataFrame:
     )
     done = write_cut(done.withColumn("system", F.concat_ws("|", "center", "trade")), "systems")
 
-    # Rows with a shortened or missing brand, and lone spellings.
-    size = done.groupBy("system").agg(F.count(F.lit(1)).alias("n"))
-    lone = done.join(size.filter(F.col("n") <= 2), "system")
-    short = p.filter(F.col("short") | (F.col("core") == "")).select("key", "core", "trade", "cid", "site", F.lit(None).cast("string").alias("own"))
-    open_rows = short.unionByName(lone.select("key", "core", "trade", "cid", "site", F.col("system").alias("own")))
-    homes = done.join(size, "system").select("system", "center", "trade", "cid", "site", "n")
-    by_company = homes.filter(F.col("cid").isNotNull()).groupBy("cid", "system", "center", "trade").agg(F.max("n").alias("n"))
-    by_site = homes.filter(F.col("site") != "").groupBy("site", "system", "center", "trade").agg(F.max("n").alias("n"))
+    # Rows with a shortened or missing brand, and systems beside a larger one,
+    # ask by distinct spellings whose they are.
+    size = write_cut(done.groupBy("system").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    asking = F.concat_ws("\u0001", "core", "trade", F.coalesce("cid", F.lit("")), "site")  # no system holds the mark
+    short = p.filter(F.col("short") | (F.col("core") == "")).select(asking.alias("ask"), "key", "core", "trade", "cid", "site")
     r = F.col("trade").alias("rtrade")
+    asks = (
+        short.select("ask", F.lit(None).cast("string").alias("own"), "core", r, "cid", "site")
+        .unionByName(done.select(F.col("system").alias("ask"), F.col("system").alias("own"), "core", r, "cid", "site"))
+        .distinct()
+        .join(size.select(F.col("system").alias("own"), F.col("n").alias("own_n")), "own", "left")
+    )
+    by_company = done.filter(F.col("cid").isNotNull()).select("cid", "system", "center", "trade").distinct().join(size, "system")
+    by_site = done.filter(F.col("site") != "").select("site", "system", "center", "trade").distinct().join(size, "system")
     cands = (
-        open_rows.filter(F.col("cid").isNotNull()).select("key", "core", r, "own", "cid").join(by_company, "cid").drop("cid").withColumn("via", F.lit(1))
-    ).unionByName(open_rows.filter(F.col("site") != "").select("key", "core", r, "own", "site").join(by_site, "site").drop("site").withColumn("via", F.lit(2)))
-    cands = cands.filter(F.col("own").isNull() | ((F.col("system") != F.col("own")) & (F.col("n") >= 1)))
+        asks.filter(F.col("cid").isNotNull()).drop("site").distinct().join(by_company, "cid").drop("cid").withColumn("via", F.lit(1))
+    ).unionByName(asks.filter(F.col("site") != "").drop("cid").distinct().join(by_site, "site").drop("site").withColumn("via", F.lit(2)))
+    # A system moves only to a larger one, or to the smaller name of two equals.
+    larger = (F.col("n") > F.col("own_n")) | ((F.col("n") == F.col("own_n")) & (F.col("system") < F.col("own")))
+    cands = cands.filter(F.col("own").isNull() | larger)
 
     @F.pandas_udf("boolean")
-    def can_stand(core, rtrade, center, trade, lone):
+    def can_stand(core, rtrade, center, trade, named):
         import pandas as pd
 
-        # Of two lone spellings either may be the cut-down one.
+        # Of two systems either may be the cut-down one.
         return pd.Series(
             [
                 fits(a.split(), b, c.split(), d, a) or (bool(x) and fits(c.split(), d, a.split(), b, c))
-                for a, b, c, d, x in zip(core, rtrade, center, trade, lone, strict=True)
+                for a, b, c, d, x in zip(core, rtrade, center, trade, named, strict=True)
             ]
         )
 
     good = cands.filter((F.col("via") == 2) | can_stand("core", "rtrade", "center", "trade", F.col("own").isNotNull()))
-    # Lone spellings move only to a larger system, or the smaller name of two equals.
-    good = good.join(size.select(F.col("system").alias("own"), F.col("n").alias("own_n")), "own", "left")
-    good = good.filter(F.col("own").isNull() | (F.col("n") > F.col("own_n")) | ((F.col("n") == F.col("own_n")) & (F.col("system") < F.col("own"))))
-    pick = good.groupBy("key").agg(
+    good = write_cut(good.select("ask", "own", "system", "via").distinct(), "good")
+    moves = _moves(good.filter(F.col("own").isNotNull()))
+    moved = _picked(good.filter(F.col("own").isNull()), moves).select("ask", "to")
+    # Shortened brands whose company names nothing fuller agree among themselves.
+    left_over = short.join(moved, "ask", "left_anti").filter((F.col("core") != "") & F.col("cid").isNotNull())
+    among = left_over.select("key", F.concat_ws("|", "core", "trade", "cid").alias("system"))
+    kept = done.join(moves, "system", "left").select("key", F.coalesce("to", "system").alias("system"))
+    added = short.join(moved, "ask").select("key", F.col("to").alias("system"))
+    return kept.unionByName(added).unionByName(among)
+
+
+def _picked(good: DataFrame, moves: DataFrame) -> DataFrame:
+    """ask, to: the one system an asking name can be, else the one its website
+    names, after ``moves`` (system, to)."""
+    now = good.join(moves, "system", "left").withColumn("system", F.coalesce("to", "system"))
+    pick = now.groupBy("ask").agg(
         F.count_distinct("system").alias("k"),
         F.count_distinct(F.when(F.col("via") == 2, F.col("system"))).alias("k_site"),
         F.min("system").alias("one"),
         F.min(F.when(F.col("via") == 2, F.col("system"))).alias("site_one"),
     )
-    pick = write_cut(pick, "picked")
-    moved = pick.select("key", F.when(F.col("k") == 1, F.col("one")).when(F.col("k_site") == 1, F.col("site_one")).alias("to")).filter(F.col("to").isNotNull())
-    # Shortened brands whose company names nothing fuller agree among themselves.
-    left_over = short.join(moved, "key", "left_anti").filter((F.col("core") != "") & F.col("cid").isNotNull())
-    among = left_over.select("key", F.concat_ws("|", "core", "trade", "cid").alias("system"))
-    kept = done.join(moved, "key", "left").select("key", F.coalesce("to", "system").alias("system"))
-    added = short.join(moved, "key").select("key", F.col("to").alias("system"))
-    return kept.unionByName(added).unionByName(among)
+    return pick.select("ask", F.when(F.col("k") == 1, F.col("one")).when(F.col("k_site") == 1, F.col("site_one")).alias("to")).filter(F.col("to").isNotNull())
+
+
+def _moves(good: DataFrame) -> DataFrame:
+    """system, to: where whole systems end.  A system with several homes has
+    one once these have moved to the same, so it is asked again until nothing
+    changes; every step leads to a larger system, so that ends."""
+    moves, before = good.select("system", F.col("system").alias("to")).limit(0), None
+    while True:
+        moves = write_cut(_picked(good, moves).select(F.col("ask").alias("system"), "to"), "moves")
+        now = moves.agg(F.count(F.lit(1)), F.sum(F.xxhash64("system", "to").cast("decimal(38,0)"))).first()
+        if now == before:
+            return moves
+        before = now
 
 
 def links(franchisors: DataFrame, filing_metadata: DataFrame) -> DataFrame:
