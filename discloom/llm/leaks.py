@@ -11,6 +11,13 @@ ceil((n - e) / (e + 1)) unaltered words, and that is 6 or more for every
 n >= 18.  So no case is lost to the index; wider windows would need a radius
 that blocks cannot serve (see README).
 
+From most runs a look at the words within three alterations is enough.  A case
+of which no run of 6 words or more reaches 18 words with three alterations has
+e >= 4, and its e + 1 runs hold 7e equal words or more.  Any four runs in a row
+hold 17 words at most, or 20 if none is of 6 words.  That leaves e = 4 with both
+outer runs of 11 words or more, and e = 4k with a run of 8k for k >= 2.  So such
+a case has a run of 11 words, and from those runs the whole is looked at.
+
 Scale: a single narrow pass over the corpus.  Only the items are broadcast; if
 they hold more words than ``block_words`` they are taken in blocks, one pass
 each.
@@ -30,6 +37,7 @@ from pyspark.sql import types as T
 
 WINDOW, RADIUS, BLOCKS = 6, 3, 4
 LEAST_WORDS, ONE_IN = 18, 8
+LONG_RUN = 11
 BLOCK_WORDS = 2_000_000
 CHUNK = 131_072
 
@@ -174,8 +182,8 @@ def holds_passage(item: list[int], doc: list[int], q: int, p: int, window: int =
     span = len(item) + most + 1
     later, sooner = item[q + window :], item[:q][::-1]
     ahead, behind = doc[p + window : p + window + span], doc[max(0, p - span) : p][::-1]
-    # A case has LEAST_WORDS words with three altered at most somewhere; what
-    # falls short of that needs no longer look.
+    # A case without a long run has LEAST_WORDS words with three altered at most
+    # around one of its runs; what falls short of that needs no longer look.
     for limit in sorted({min(3, most), most}):
         after, before = reach(later, ahead, limit), reach(sooner, behind, limit)
         longest = 0
@@ -186,7 +194,7 @@ def holds_passage(item: list[int], doc: list[int], q: int, p: int, window: int =
                     return True
                 if e1 + e2 <= 3:
                     longest = max(longest, n)
-        if longest < LEAST_WORDS:
+        if longest < LEAST_WORDS and window + after[0] + before[0] < LONG_RUN:
             return False
     return False
 
@@ -218,7 +226,8 @@ class Items:
 
     def shingles(self, k: int) -> tuple[frozenset, int]:
         """Words around stored window k and how many different ones a case
-        must share with the corpus there (each of three alterations takes one)."""
+        without a long run must share with the corpus there (each of three
+        alterations takes one)."""
         got = self.bound.get(k)
         if got is None:
             t, q = self.texts[self.owner[k]], int(self.place[k])
@@ -261,16 +270,18 @@ def search(items: Items, docs: list[tuple[object, str | None]]) -> list[tuple[in
     own, diagonal = items.owner[k], p - items.place[k]
     new = np.ones(len(p), bool)
     new[1:] = ~((doc[1:] == doc[:-1]) & (own[1:] == own[:-1]) & (diagonal[1:] == diagonal[:-1]) & (p[1:] == p[:-1] + 1))
+    length = np.diff(np.append(np.flatnonzero(new), len(new))) + WINDOW - 1
     done = set()
-    for pp, kk, dd in zip(p[new].tolist(), k[new].tolist(), doc[new].tolist(), strict=True):
+    for pp, kk, dd, run in zip(p[new].tolist(), k[new].tolist(), doc[new].tolist(), length.tolist(), strict=True):
         it = int(items.owner[kk])
         if (it, dd) in done:
             continue
         lo, hi = int(first[dd]), int(first[dd + 1])
-        around, least = items.shingles(kk)
-        near = stream[max(lo, pp - LEAST_WORDS - 3) : min(hi, pp + WINDOW + LEAST_WORDS + 3)].tolist()
-        if len(around.intersection(near)) < least:
-            continue
+        if run < LONG_RUN:
+            around, least = items.shingles(kk)
+            near = stream[max(lo, pp - LEAST_WORDS - 3) : min(hi, pp + WINDOW + LEAST_WORDS + 3)].tolist()
+            if len(around.intersection(near)) < least:
+                continue
         text, q = items.texts[it], int(items.place[kk])
         span = 2 * len(text) + 8
         a = max(lo, pp - span)
