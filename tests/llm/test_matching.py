@@ -71,13 +71,56 @@ def test_links(spark):
     assert V.links(f.limit(0), m.limit(0)).count() == 0
 
 
-def test_bm25_search_loses_nothing_by_pruning(spark):
-    rows = pq.read_table("/root/testdata/sf0.001/mn_filings.parquet").to_pylist()
-    df = spark.createDataFrame([(r["document_id"], r["franchise_name"], r["franchisor"]) for r in rows], "key string, brand string, legal string")
-    c = X.classes(X.documents(df))
-    full = {(r.q, r.d) for r in X.search(c, c, least=X.LEAST, rest=0.0).collect()}
-    cut = {(r.q, r.d) for r in X.search(c, c, least=X.LEAST, rest=X.REST).collect()}
-    assert cut == full and len(full) >= c.count()
+def _index(spark):
+    wi = pq.read_table("/root/testdata/sf0.001/wi_filings.parquet").to_pylist()
+    mn = pq.read_table("/root/testdata/sf0.001/mn_filings.parquet").to_pylist()
+    make = lambda rows, k, b, m: spark.createDataFrame([(r[k], r[b], r[m]) for r in rows], "key string, brand string, legal string")
+    _, lc = X.documents(make(wi, "portal_id", "trade_name", "legal_name"), "l")
+    _, rc = X.documents(make(mn, "document_id", "franchise_name", "franchisor"), "r")
+    return X.weighted(lc.unionByName(rc))
+
+
+def test_top_k_equals_brute_force(spark):
+    ix = _index(spark)
+    rows = ix.collect()
+    want = {}
+    for a in rows:
+        for b in rows:
+            if (a.side, b.side) == ("l", "r"):
+                ta, tb = {t.h: (t.w, t.m) for t in a.terms}, {t.h: (t.w, t.m) for t in b.terms}
+                reach = 0.0
+                for x, y in ((ta, tb), (tb, ta)):
+                    for attr in (X.BRAND, X.COMPANY):
+                        own = {h: w for h, (w, m) in x.items() if m & attr and m & X.PROBE}
+                        if own:
+                            reach = max(reach, sum(w for h, w in own.items() if h in y and y[h][1] & X.PROBE) / sum(own.values()))
+                if reach >= X.LEAST - 1e-9:
+                    want[(a.cid, b.cid)] = sum(w for h, (w, _) in ta.items() if h in tb)
+    pairs = X.scored(X.candidates(ix, False), ix)
+    got = {(r.left, r.right): r.to_right for r in pairs.collect()}
+    norm = {r.cid: r.norm for r in rows if r.side == "r"}
+    assert set(got) == set(want) and all(abs(got[k] - want[k] * norm[k[1]]) < 1e-6 for k in got)
+    for k in (1, 2, 10):
+        best = {}
+        for (a, b), s in want.items():
+            best.setdefault(a, []).append((-s * norm[b], b))
+        top = {(a, b) for a, x in best.items() for _, b in sorted(x)[:k]}
+        mine = {(r.at, r.other) for r in X.nearest(pairs, k, 2.0).filter("of = 'left'").collect()}
+        assert mine == top
+
+
+def test_all_that_is_near_stays_beyond_k(spark):
+    pairs = spark.createDataFrame([("lr", 1, i, 10.0, 10.0) for i in range(30)] + [("lr", 1, 99, 1.0, 9.0)], "kind string, left long, right long, to_right double, to_left double")
+    assert X.mutual(pairs, 3, 0.75).count() == 30
+
+
+def test_few_labels_leave_the_prior(spark):
+    import numpy as np
+
+    x = np.zeros((1, len(X.FEATURES)))
+    assert np.abs(X.fit_logistic(x, np.array([1.0]), np.array(X.PRIOR)) - X.PRIOR).max() == 0
+    w = X.fit_logistic(np.array([[1.0, 0.0]] * 5 + [[1.0, 1.0]] * 5), np.array([0.0] * 5 + [1.0] * 5), np.array([0.0, 1.0]))
+    assert w[1] > 1
 
 
 def test_portal_matches(spark):
@@ -90,7 +133,9 @@ def test_portal_matches(spark):
         "document_id string, franchisor string, franchise_name string, file_number string",
     )
     assert sorted(map(tuple, X.found(w, m).collect())) == [("1", "a"), ("3", "c")]
-    assert X.found(w.limit(0), m).count() == 0
+    assert X.found(w.limit(0), m).count() == 0 and X.found(w.limit(0), m.limit(0)).count() == 0
+    rows = {(r.portal, r.key): r.n_links for r in X.filings(w.distinct(), m).collect()}
+    assert rows == {("W", "1"): 1, ("W", "3"): 1, ("M", "a"): 1, ("M", "b"): 0, ("M", "c"): 1}
 
 
 def test_logistic_fit_parts_two_groups():
