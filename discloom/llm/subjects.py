@@ -1,15 +1,17 @@
 """Subject areas of documents.
 
 Paragraphs of a bounded sample of labelled documents become normalised tf-idf
-vectors and are clustered by bisecting k-means; each leaf is labelled with the
-subject its documents' readers name, and its discriminative terms become the
-leaf's vector of weights.  Every document of the corpus is then read whole:
-each paragraph is a mixture of the leaves its sentences fall to, and a
-document has every subject that holds a paragraph of its own.
-
-Only the fit is bounded (``fit_docs`` labelled documents, the ones with the
-smallest key hash); the broadcast is the weights of its terms.  The pass over
-the corpus is narrow and keeps no state.
+vectors, laid out in their leading directions and clustered by bisecting
+k-means.  Each leaf is labelled with the subject its documents' readers name,
+and its discriminative terms are its vector.  Every document of the corpus is
+then read whole: each sentence falls to leaves by their terms, a paragraph is
+the mixture of its sentences' leaves, and a document has every subject whose
+leaves hold a paragraph of its own.  A term counts for leaves only, never for a
+subject directly: where no leaf is labelled, nothing is found.
+
+Only the fit is bounded (``fit_docs`` labelled documents, the same number of
+each language, the ones with the smallest key hash); the broadcast is the leaf
+vectors.  The pass over the corpus is narrow and keeps no state.
 """
 
 from __future__ import annotations
@@ -24,9 +26,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 FIT_DOCS = 3000
-LEAVES, LEAST_LEAF = 72, 12
+LEAVES, LEAST_LEAF, SMALL_LEAF = 72, 12, 5
+#: Rounds in which paragraphs move between leaves.
+ROUNDS = 2
+#: How strongly a term's agreement among readers weighs in the vectors.
+TELL = 4
+#: Starts of each cut, the best of which is taken.
+TRIALS = 10
+#: Directions that paragraphs are laid out in.
+AXES = 48
 #: A leaf is a subject's if so many of its documents' readers name it.
 MIXED = 0.45
 LEAST_TERM, PURE = 4, 0.6
@@ -72,7 +83,7 @@ def clean_subject(c: Column) -> Column:
 
 
 class Sparse:
-    """Rows of (term, value) pairs, enough of a sparse matrix for k-means."""
+    """Rows of (term, value) pairs."""
 
     def __init__(self, start: np.ndarray, col: np.ndarray, val: np.ndarray, width: int):
         self.start, self.col, self.val, self.width = start, col, val, width
@@ -80,34 +91,18 @@ class Sparse:
     def __len__(self) -> int:
         return len(self.start) - 1
 
-    def take(self, rows: np.ndarray) -> Sparse:
-        n = self.start[rows + 1] - self.start[rows]
-        start = np.concatenate([[0], np.cumsum(n)])
-        at = np.arange(start[-1]) - np.repeat(start[:-1] - self.start[rows], n)
-        return Sparse(start, self.col[at], self.val[at], self.width)
-
-    def dot(self, c: np.ndarray) -> np.ndarray:
-        owner = np.repeat(np.arange(len(self)), np.diff(self.start))
-        return np.bincount(owner, self.val * c[self.col], len(self))
-
-    def sums(self, side: np.ndarray, groups: int) -> np.ndarray:
-        """Sum of the rows of each group."""
-        owner = np.repeat(side, np.diff(self.start))
-        return np.bincount(owner * self.width + self.col, self.val, groups * self.width).reshape(groups, self.width)
-
-    def row(self, i: int) -> np.ndarray:
-        out = np.zeros(self.width)
-        s = slice(self.start[i], self.start[i + 1])
-        out[self.col[s]] = self.val[s]
+    def dense(self) -> np.ndarray:
+        out = np.zeros((len(self), self.width), np.float32)
+        out[np.repeat(np.arange(len(self)), np.diff(self.start)), self.col] = self.val
         return out
 
 
-def _loss(x: Sparse) -> float:
+def _loss(x: np.ndarray) -> float:
     """How far unit rows are from pointing one way."""
-    return float(len(x) - np.linalg.norm(x.sums(np.zeros(len(x), np.int64), 1)))
+    return float(len(x) - np.linalg.norm(x.sum(0)))
 
 
-def bisecting_kmeans(x: Sparse, leaves: int = LEAVES, least: int = LEAST_LEAF, rounds: int = 12, seed: int = 7) -> np.ndarray:
+def bisecting_kmeans(x: np.ndarray, leaves: int = LEAVES, least: int = LEAST_LEAF, rounds: int = 12, seed: int = 7) -> np.ndarray:
     """Leaf number of each row of unit vectors: the least coherent leaf is cut
     in two by spherical 2-means until there are enough or none can be cut."""
     rng = np.random.default_rng(seed)
@@ -121,19 +116,19 @@ def bisecting_kmeans(x: Sparse, leaves: int = LEAVES, least: int = LEAST_LEAF, r
         rows = np.flatnonzero(leaf == k)
         if len(rows) < 2 * least:
             continue
-        y = x.take(rows)
+        y = x[rows]
         best = None
-        for _ in range(2):
-            a = y.row(int(rng.integers(len(y))))
-            far = np.argsort(y.dot(a), kind="stable")
-            c = np.stack([a, y.row(int(far[rng.integers(max(1, len(y) // 10))]))])
+        for _ in range(TRIALS):
+            a = y[int(rng.integers(len(y)))]
+            far = np.argsort(y @ a, kind="stable")
+            c = np.stack([a, y[int(far[rng.integers(max(1, len(y) // 10))])]])
             side = None
             for _ in range(rounds):
-                new = (y.dot(c[1]) > y.dot(c[0])).astype(np.int64)
+                new = (y @ c[1] > y @ c[0]).astype(np.int64)
                 if side is not None and (new == side).all():
                     break
                 side = new
-                c = y.sums(side, 2)
+                c = np.stack([y[side == 0].sum(0), y[side == 1].sum(0)])
                 norm = np.linalg.norm(c, axis=1, keepdims=True)
                 if (norm == 0).any():
                     break
@@ -146,14 +141,40 @@ def bisecting_kmeans(x: Sparse, leaves: int = LEAVES, least: int = LEAST_LEAF, r
         side = best[1]
         leaf[rows[side == 1]] = n
         for j, part in ((k, 0), (n, 1)):
-            loss[j] = _loss(y.take(np.flatnonzero(side == part)))
+            loss[j] = _loss(y[side == part])
         n += 1
     return leaf
 
 
-def _vectors(docs: Sequence[list[list[str]]], terms: dict[str, int], df: np.ndarray) -> Sparse:
-    """Unit tf-idf rows."""
-    idf = np.log((1 + len(docs)) / (1 + df))
+def smoothed(x: Sparse, axes: int) -> np.ndarray:
+    """Unit rows in the ``axes`` leading directions of the terms: paragraphs of
+    one subject lie together though they share few of its words."""
+    d = x.dense()
+    _, v = np.linalg.eigh((d.T @ d).astype(np.float64))
+    out = d @ v[:, ::-1][:, :axes].astype(np.float32)
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(norm > 0, norm, 1)
+
+
+def telling(docs: Sequence[list[list[str]]], y: np.ndarray) -> dict[str, float]:
+    """How much each term tells of a subject: the largest share of the readers
+    of its paragraphs that agree on one, few paragraphs counting for less."""
+    total: dict[str, np.ndarray] = {}
+    n: Counter = Counter()
+    for p, v in zip(docs, y, strict=True):
+        for w in {w for s in p for w in s}:
+            n[w] += 1
+            if w in total:
+                total[w] += v
+            else:
+                total[w] = v.copy()
+    return {w: float(v.max(initial=0.0)) / (n[w] + 1) for w, v in total.items()}
+
+
+def _vectors(docs: Sequence[list[list[str]]], terms: dict[str, int], df: np.ndarray, tell: dict[str, float]) -> Sparse:
+    """Unit tf-idf rows; words of a language or of phrasing, which tell little
+    of subjects, weigh little."""
+    idf = np.log((1 + len(docs)) / (1 + df)) * np.array([tell[w] ** TELL + 0.01 for w in terms])
     start, col, val = [0], [], []
     for sentences in docs:
         n = Counter(k for s in sentences for w in s if (k := terms.get(w)) is not None)
@@ -166,37 +187,102 @@ def _vectors(docs: Sequence[list[list[str]]], terms: dict[str, int], df: np.ndar
     return Sparse(np.array(start), np.array(col, np.int64), np.concatenate(val) if val else np.zeros(0), max(1, len(terms)))
 
 
-def subject_of(sentences: list[list[str]], weights: dict[str, tuple[int, float]]) -> tuple[int, dict[int, int]]:
-    """The subject that a paragraph is given to (-1: none) and its mixture:
-    the number of sentences by subject."""
-    mix: dict[int, int] = {}
+#: Leaf numbers and weights of a term.
+Weights = dict[str, tuple[tuple[int, float], ...]]
+
+
+def leaf_mixture(sentences: list[list[str]], weights: Weights) -> list[dict[int, float]]:
+    """The leaves each sentence falls to with their memberships."""
+    out = []
     get = weights.get
     for s in sentences:
-        score: dict[int, float] = {}
+        m: dict[int, float] = {}
         for w in s:
             g = get(w)
             if g is not None:
-                score[g[0]] = score.get(g[0], 0.0) + g[1]
-        if score:
-            k = max(score, key=lambda j: (score[j], -j))
-            if score[k] >= 1.0:
-                mix[k] = mix.get(k, 0) + 1
-    if not mix:
+                for k, v in g:
+                    m[k] = m.get(k, 0.0) + v
+        out.append(m)
+    return out
+
+
+def subject_of(sentences: list[list[str]], weights: Weights, label: Sequence[int]) -> tuple[int, dict[int, float]]:
+    """The subject that a paragraph is given to (-1: none) and its mixture of
+    leaves.
+
+    Memberships are summed over the leaves of one subject (``label`` by leaf); a
+    sentence belongs to the subject that leads, from a whole membership on.
+    """
+    mix: dict[int, float] = {}
+    votes: dict[int, int] = {}
+    for m in leaf_mixture(sentences, weights):
+        if not m:
+            continue
+        score: dict[int, float] = {}
+        for k, v in m.items():
+            score[label[k]] = score.get(label[k], 0.0) + v
+            mix[k] = mix.get(k, 0.0) + v
+        top = max(score, key=lambda j: (score[j], -j))
+        if score[top] >= 1.0:
+            votes[top] = votes.get(top, 0) + 1
+    if not votes:
         return -1, mix
-    k = max(mix, key=lambda j: (mix[j], -j))
-    if mix[k] >= LEAST_SENTENCES and mix[k] >= LEAST_SHARE * len(sentences):
+    k = max(votes, key=lambda j: (votes[j], -j))
+    if votes[k] >= LEAST_SENTENCES and votes[k] >= LEAST_SHARE * len(sentences):
         return k, mix
     return -1, mix
 
 
 class Model:
-    """Weights of terms, and leaves with their labels and leading terms."""
-
-    def __init__(self, subjects: list[str], weights: dict[str, tuple[int, float]], leaves: list[tuple[int, str, float, str]]):
-        self.subjects, self.weights, self.leaves = subjects, weights, leaves
+    """Subjects, the subject of each leaf (-1: none), each term's weights by
+    leaf, and notes on the leaves (number, subject, purity, leading terms)."""
+
+    def __init__(self, subjects: list[str], label: list[int], weights: Weights, leaves: list[tuple[int, str, float, str]]):
+        self.subjects, self.label, self.weights, self.leaves = subjects, label, weights, leaves
+
+
+def leaf_labels(leaf: np.ndarray, y: np.ndarray) -> tuple[list[int], list[float]]:
+    """The subject of each leaf and its share: what its documents' readers
+    name, if one subject leads and stands out from the whole; else -1."""
+    label, share_of = [], []
+    base = y.mean(0) + 1e-9 if len(y) and y.shape[1] else np.zeros(0)
+    for k in range(int(leaf.max()) + 1 if len(leaf) else 0):
+        inside = y[leaf == k]
+        share = inside.mean(0) if len(inside) and len(base) else np.zeros(1)
+        s = int(share.argmax())
+        ok = len(base) > 0 and len(inside) > 0 and share[s] >= MIXED and share[s] >= 2 * base[s]
+        label.append(s if ok else -1)
+        share_of.append(float(share[s]))
+    return label, share_of
+
+
+def leaf_weights(docs: Sequence[list[list[str]]], leaf: np.ndarray, label: Sequence[int]) -> Weights:
+    """Discriminative terms of the leaves: a term counts for the leaves of the
+    subject that it is pure for, shared out by how often it stands in each."""
+    by_term: dict[str, Counter] = defaultdict(Counter)
+    for p, k in zip(docs, leaf.tolist(), strict=True):
+        for w in {w for s in p for w in s}:
+            by_term[w][k] += 1
+    size = Counter(label[k] for k in leaf.tolist())
+    out: Weights = {}
+    for w, c in by_term.items():
+        n = sum(c.values())
+        if n < LEAST_TERM:
+            continue
+        own: Counter = Counter()
+        for k, x in c.items():
+            own[label[k]] += x
+        # Rates within each subject's paragraphs, so that large ones do not weigh more.
+        rate = {s: x / size[s] for s, x in own.items()}
+        top = max(rate, key=lambda j: (rate[j], -j))
+        pure = rate[top] / sum(rate.values())
+        if top >= 0 and pure >= PURE and own[top] >= max(LEAST_TERM, 0.4 * n):
+            weight = pure**2 * (1.0 if pure >= 0.8 else 0.6) * 1.6
+            out[w] = tuple((k, weight * x / own[top]) for k, x in sorted(c.items()) if label[k] == top)
+    return out
 
 
-def fit(rows: Sequence[tuple[str | None, dict[str, float]]], subjects: Sequence[str], leaves: int = LEAVES) -> Model:
+def fit(rows: Sequence[tuple[str | None, dict[str, float]]], subjects: Sequence[str], leaves: int = LEAVES, cluster=bisecting_kmeans) -> Model:
     """Fit on (text, share of readers by subject) of labelled documents."""
     subjects = sorted(subjects)
     number = {s: i for i, s in enumerate(subjects)}
@@ -210,74 +296,58 @@ def fit(rows: Sequence[tuple[str | None, dict[str, float]]], subjects: Sequence[
             docs.append(p)
             votes.append(v)
     if not docs:
-        return Model(subjects, {}, [])
+        return Model(subjects, [], {}, [])
     y = np.array(votes)
     seen = Counter(w for p in docs for w in {w for s in p for w in s})
     least = max(LEAST_TERM, len(docs) // 2000)
     terms = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if n >= least and n < 0.5 * len(docs)))}
     df = np.array([seen[w] for w in terms], np.float64)
-    leaf = bisecting_kmeans(_vectors(docs, terms, df), leaves) if terms else np.zeros(len(docs), np.int64)
+    tell = telling(docs, y)
+    leaf = cluster(smoothed(_vectors(docs, terms, df, tell), AXES), leaves) if terms else np.zeros(len(docs), np.int64)
 
     # Leaves that no subject leads are cut again by what tells their own
     # paragraphs apart, without the words they all share.
-    for k in range(int(leaf.max()) + 1):
+    open_ = list(range(int(leaf.max()) + 1)) if len(subjects) else []
+    while open_:
+        k = open_.pop()
         rows_k = np.flatnonzero(leaf == k)
-        if len(rows_k) < 2 * LEAST_LEAF or not len(subjects) or y[rows_k].mean(0).max() >= MIXED:
+        if len(rows_k) < 2 * SMALL_LEAF or y[rows_k].mean(0).max() >= MIXED:
             continue
         inside = Counter(w for i in rows_k for w in {w for q in docs[i] for w in q})
         own = {w: i for i, w in enumerate(sorted(w for w, n in inside.items() if n >= 3 and n <= FRAME_SHARE * len(rows_k)))}
-        if own:
-            sub = [docs[i] for i in rows_k]
-            cut = bisecting_kmeans(_vectors(sub, own, np.array([inside[w] for w in own], np.float64)), max(2, len(rows_k) // LEAST_LEAF), 5)
-            leaf[rows_k] = np.where(cut == 0, k, leaf.max() + cut)
-    given = np.full(len(docs), -1)
+        if not own:
+            continue
+        sub = [docs[i] for i in rows_k]
+        cut = cluster(smoothed(_vectors(sub, own, np.array([inside[w] for w in own], np.float64), tell), AXES), max(2, len(rows_k) // SMALL_LEAF), SMALL_LEAF)
+        if cut.any():
+            first = int(leaf.max())
+            leaf[rows_k] = np.where(cut == 0, k, first + cut)
+            open_ += [j for j in (k, *range(first + 1, int(leaf.max()) + 1)) if (leaf == j).sum() < len(rows_k)]
+
+    # Paragraphs move to the leaf of their subject that holds most of their
+    # mixture, those of none to an unlabelled leaf, and leaves are weighed anew.
+    label, share = leaf_labels(leaf, y)
+    weights = leaf_weights(docs, leaf, label)
+    for _ in range(ROUNDS):
+        rest = len(label)
+        moved = []
+        for p, k in zip(docs, leaf.tolist(), strict=True):
+            s, mix = subject_of(p, weights, label)
+            if s >= 0:
+                k = max((j for j in mix if label[j] == s), key=lambda j: (mix[j], -j))
+            elif label[k] >= 0:
+                k = rest
+            moved.append(k)
+        leaf = np.array(moved)
+        label = [*label, -1]
+        weights = leaf_weights(docs, leaf, label)
     notes = []
-    base = y.mean(0) + 1e-9
-    for k in range(int(leaf.max()) + 1):
-        rows_k = np.flatnonzero(leaf == k)
-        share = y[rows_k].mean(0)
-        s = int(share.argmax()) if len(subjects) else -1
-        ok = s >= 0 and share[s] >= MIXED and share[s] >= 2 * base[s]
-        given[rows_k] = s if ok else -1
-        inside = Counter(w for i in rows_k for w in {w for q in docs[i] for w in q})
-        lead = sorted(inside, key=lambda w: (-inside[w] * math.log((1 + inside[w] / len(rows_k)) / (1 + seen[w] / len(docs)) + 1e-9), w))[:8]
-        notes.append((k, subjects[s] if ok else "none", float(share[s]) if s >= 0 else 0.0, " ".join(lead)))
-
-    weights: dict[str, tuple[int, float]] = {}
-    for step in range(3):
-        by_term: dict[str, Counter] = defaultdict(Counter)
-        for p, g in zip(docs, given, strict=True):
-            for w in {w for s in p for w in s}:
-                by_term[w][int(g)] += 1
-        size = Counter(int(g) for g in given)
-        new = {}
-        for w, c in by_term.items():
-            n = sum(c.values())
-            if n < LEAST_TERM:
-                continue
-            # Rates within each subject's paragraphs, so that large ones do not weigh more.
-            rate = {k: c[k] / size[k] for k in c if size[k]}
-            total = sum(rate.values())
-            k = max(rate, key=lambda j: (rate[j], -j))
-            pure = rate[k] / total
-            if k >= 0 and pure >= PURE and c[k] >= max(LEAST_TERM, 0.4 * n):
-                new[w] = (k, float(min(1.0, pure) ** 2 * (1.0 if pure >= 0.8 else 0.6)) * 1.6)
-        if step == 0:
-            # Terms of leaves too small or mixed to be labelled: what the
-            # readers say of the paragraphs that hold them.
-            total: dict[str, np.ndarray] = {}
-            for p, v in zip(docs, y, strict=True):
-                for w in {w for s in p for w in s}:
-                    total[w] = total[w] + v if w in total else v.copy()
-            for w, v in total.items():
-                n = seen[w]
-                k = int(v.argmax())
-                if w not in new and n >= LEAST_TERM + 2 and v[k] >= PURE * n and v[k] >= 2.5 * base[k] * n:
-                    new[w] = (k, 1.0)
-        weights = new
-        if step < 2:
-            given = np.array([subject_of(p, weights)[0] for p in docs])
-    return Model(subjects, weights, notes)
+    for k, s in enumerate(label):
+        inside = Counter(w for i in np.flatnonzero(leaf == k) for w in {w for q in docs[i] for w in q})
+        n = max(1, int((leaf == k).sum()))
+        lead = sorted(inside, key=lambda w: (-inside[w] * math.log((1 + inside[w] / n) / (1 + seen[w] / len(docs)) + 1e-9), w))[:8]
+        notes.append((k, subjects[s] if s >= 0 else "none", share[k] if k < len(share) else 0.0, " ".join(lead)))
+    return Model(subjects, label, weights, notes)
 
 
 def label_shares(labels: DataFrame) -> DataFrame:
@@ -295,9 +365,15 @@ def label_shares(labels: DataFrame) -> DataFrame:
 
 
 def trained(docs: DataFrame, subjects: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
-    """The model fitted on at most ``fit_docs`` labelled documents."""
-    chosen = label_shares(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "shares").collect()
+    """The model fitted on at most ``fit_docs`` labelled documents, the same
+    number of each language as far as there are (column ``lang``, if given):
+    those with the smallest hash."""
+    lang = F.coalesce(F.lower(F.trim("lang")), F.lit("")) if "lang" in docs.columns else F.lit("")
+    shares = label_shares(labels)
+    known = docs.select("doc_id", lang.alias("lang")).join(shares.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    turn = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = known.withColumn("turn", turn).filter(F.col("turn") <= fit_docs).orderBy("turn", "lang").limit(fit_docs).select("doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.join(shares, "doc_id")), "doc_id").select("text", "shares").collect()
     names = [r.subject for r in subjects.select("subject").distinct().collect() if r.subject]
     rows.sort(key=lambda r: (r.text or "", sorted(r.shares.items())))
     return fit([(r.text, r.shares) for r in rows], names)
@@ -310,16 +386,16 @@ def subjects_of(docs: DataFrame, subjects: DataFrame, labels: DataFrame, fit_doc
     nothing can be named and there are no rows.  A repeated row counts once.
     """
     model = trained(docs, subjects, labels, fit_docs)
-    held = docs.sparkSession.sparkContext.broadcast((model.subjects, model.weights))
+    held = docs.sparkSession.sparkContext.broadcast((model.subjects, model.label, model.weights))
     src = docs.select("doc_id", "text")
     schema = T.StructType([src.schema["doc_id"], T.StructField("subject", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, weights = held.value
+        names, label, weights = held.value
         for b in batches:
             ids, out = [], []
             for i, text in enumerate(b.column(1).to_pylist()):
-                got = sorted({subject_of(p, weights)[0] for p in paragraphs(text)} - {-1})
+                got = sorted({subject_of(p, weights, label)[0] for p in paragraphs(text)} - {-1})
                 ids += [i] * len(got)
                 out += [names[k] for k in got]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(out, pa.string())], names=schema.names)

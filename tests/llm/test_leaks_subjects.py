@@ -73,10 +73,10 @@ def test_item_blocks_give_the_same(spark):
 
 def test_bisecting_kmeans_parts_clean_groups():
     docs = [[[w, "common", w]] for w in ("ant", "bee", "cat", "dog") for _ in range(20)]
-    x = S._vectors(docs, {w: i for i, w in enumerate(("ant", "bee", "cat", "dog", "common"))}, np.array([20, 20, 20, 20, 80.0]))
-    leaf = S.bisecting_kmeans(x, 4, 5)
+    x = S._vectors(docs, {w: i for i, w in enumerate(("ant", "bee", "cat", "dog", "common"))}, np.array([20, 20, 20, 20, 80.0]), dict.fromkeys(("ant", "bee", "cat", "dog"), 1.0) | {"common": 0.2})
+    leaf = S.bisecting_kmeans(S.smoothed(x, 8), 4, 5)
     assert [len(set(leaf[i : i + 20])) for i in (0, 20, 40, 60)] == [1] * 4 and len(set(leaf)) == 4
-    assert len(S.bisecting_kmeans(S._vectors([], {}, np.zeros(0)), 4, 5)) == 0
+    assert len(S.bisecting_kmeans(np.zeros((0, 3)), 4, 5)) == 0
 
 
 def test_subjects_on_held_out_labels(spark):
@@ -94,6 +94,21 @@ def test_subjects_on_held_out_labels(spark):
     assert hit > 0.9 and said > 0.9
 
 
+def test_subjects_come_from_the_leaves():
+    """With everything in one leaf nothing is found, and the mixture names the
+    leaves of the subject a paragraph is given to."""
+    words = {"law": [f"law{c}" for c in "abcdefgh"], "food": [f"food{c}" for c in "abcdefgh"], "pets": [f"pets{c}" for c in "abcdefgh"]}
+    rng = np.random.default_rng(3)
+    say = lambda s: " ".join(f"the operator said {' and '.join(rng.choice(words[s], 3))} were here." for _ in range(3))
+    rows = [(say(s), {s: 1.0}) for _ in range(30) for s in words]
+    m = S.fit(rows, sorted(words), leaves=6)
+    for s in words:
+        k, mix = S.subject_of(S.paragraphs(say(s))[0], m.weights, m.label)
+        assert m.subjects[k] == s and max(mix, key=mix.get) in [i for i, x in enumerate(m.label) if x == k]
+    one = S.fit(rows, sorted(words), cluster=lambda x, leaves, least=1: np.zeros(len(x), np.int64))
+    assert one.weights == {} and all(S.subject_of(S.paragraphs(say(s))[0], one.weights, one.label)[0] == -1 for s in words)
+
+
 def test_subjects_edge_cases(spark):
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "Only notice words here. Nothing else at all.", "x")], "doc_id long, text string, subject string")
     subj = spark.createDataFrame([("a", "")], "subject string, description string")
