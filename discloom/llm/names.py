@@ -2,43 +2,32 @@
 
 A brand is split into its core (the words that tell it apart) and its trade
 (bakery, lawn care ...), a company into its core and the words of its legal
-form.  Words are recognised with typing errors and abbreviations.
+form.  Which words are common is learnt from the names themselves; they are
+recognised with typing errors and abbreviations.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import permutations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Words that name a trade.
-TRADE_WORDS = (
-    "academy agency animal assisted athletic auto automotive bakery bar barber beauty boarding body boxing brokers burger cafe camp car care "
-    "center change child clean cleaning clinic club coffee college collision companion company cuts day dental diner dog education electric "
-    "estate express extended fitness food gallery garage gas grill grooming group gym hair haircare health heating home hotel house ice inn "
-    "insurance kids kitchen kitchens lab landscaping lawn learning living lodge lounge lube management market massage maids medical mobile "
-    "motel motors moving music nail noodle office oil optical painting pest pet pizza play plumbing preschool print property real realty "
-    "rental repair residences resort restaurant restoration roofing salon sandwich school senior service services shop skin spa sports staffing "
-    "stay storage store studio suites supplies sushi swim tan taco tax tea therapy tire training transmission travel tutoring vision wash "
-    "waxing wellness window wings wireless yoga yogurt"
-).split()
-# Words of legal forms and of the business of franchising.
-LEGAL_WORDS = (
-    "franchise franchises franchising franchisor franchisors systems system services service company companies corporation incorporated "
-    "international holdings holding brands brand development developments enterprises enterprise group partners management ventures worldwide "
-    "global usa america limited liability partnership parent spv trust"
-).split()
-LEGAL_SHORT = frozenset("llc inc co corp lp llp ltd plc pc pllc intl the of a an and dba spv ink us".split())
-STATES = frozenset(
-    "alabama alaska arizona arkansas california colorado connecticut delaware florida georgia hawaii idaho illinois indiana iowa kansas "
-    "kentucky louisiana maine maryland massachusetts michigan minnesota mississippi missouri montana nebraska nevada ohio oklahoma oregon "
-    "pennsylvania tennessee texas utah vermont virginia washington wisconsin wyoming".split()
-)
+#: A common word stands in this share of the different names at least, in as
+#: many names, and in names that begin in as many ways; no beginning may hold
+#: more than TOP_CONTEXT of them, so one frequent system makes no common words.
+#: At most (words of a name / COMMON_SHARE) words can reach the share.
+COMMON_SHARE, LEAST_NAMES, LEAST_CONTEXTS, TOP_CONTEXT = 1 / 500, 4, 4, 0.4
+#: A word is of the legal form if companies have it so much more often than brands.
+FORM_RATIO = 4
+#: How much rarer a word must be to count as another one typed badly.
+RARER = 0.25
+
 NOTHING = frozenset(("", "n/a", "na", "none", "null", "unknown", "-", "--", "tbd", "same", "not available", "not applicable", "."))
+LINKING = frozenset(("the", "by", "and", "of", "a", "an", "tm"))
 _MARKS = re.compile(r"\((?:tm|r|sm)\)|[®™℠©]", re.I)
 _DBA = re.compile(r"\b(?:d/?b/?a/?|t/a|a/k/a|f/k/a|doing business as|trading as|also known as)\b", re.I)
 _STATE_FORM = re.compile(r",?\s+an?\s+[a-z ]+?\s+(?:limited liability|corporation|corpor\w*|company|limited partnership|partnership|llc).*$", re.I)
@@ -104,33 +93,76 @@ def _closest(token: str, words: tuple[str, ...]) -> str | None:
     return None
 
 
-_TRADE, _LEGAL = tuple(dict.fromkeys(TRADE_WORDS)), tuple(dict.fromkeys(LEGAL_WORDS))
-
-
-_KEPT: dict[str, dict] = {"trade": {}, "legal": {}}
-
-
-def _kept(kind: str, token: str, words: tuple[str, ...]) -> str | None:
-    """The closest word, remembered; the memory is emptied when it is large."""
-    known = _KEPT[kind]
-    if token not in known:
-        if len(known) > 200_000:
-            known.clear()
-        known[token] = _closest(token, words)
-    return known[token]
+def common_words(names: DataFrame) -> list[tuple[str, int, int]]:
+    """word, brands, companies: the common words of names (column ``name``,
+    ``legal``: whether it is a company's), most frequent first.
 
+    Distinct names are counted; a name's first word is its context and is not
+    counted itself.  The list is bounded by COMMON_SHARE, not by the data.
+    """
+    plain = F.regexp_replace(F.regexp_replace(F.lower("name"), "['\u2019`]", ""), r"\b([a-z])\.(?=[a-z]\b)", "$1")
+    texts = names.filter(F.length("name") > 0).select(plain.alias("t"), "legal").distinct()
+    words = texts.select("legal", F.filter(F.split("t", r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0).alias("w"))
+    each = words.select("legal", F.substring(F.get("w", F.lit(0)), 1, 3).alias("context"), F.explode(F.array_distinct(F.slice("w", 2, 1000))).alias("word"))
+    first = words.select(F.get("w", F.lit(0)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("leads"))
+    per = each.groupBy("word", "context").agg(F.count_if(~F.col("legal")).alias("b"), F.count_if("legal").alias("c"))
+    n = F.col("brands") + F.col("companies")
+    found = per.groupBy("word").agg(
+        F.sum("b").alias("brands"), F.sum("c").alias("companies"), F.count(F.lit(1)).alias("contexts"), F.max(F.col("b") + F.col("c")).alias("top")
+    )
+    total = texts.count()
+    least = max(LEAST_NAMES, total * COMMON_SHARE)
+    found = found.filter((n >= least) & (F.col("contexts") >= LEAST_CONTEXTS) & (F.col("top") <= TOP_CONTEXT * n))
+    found = found.join(first, "word", "left").filter(n > F.coalesce("leads", F.lit(0)))
+    return sorted(((r.word, r.brands, r.companies) for r in found.collect()), key=lambda r: (-r[1] - r[2], r[0]))
 
-def trade_word(token: str) -> str | None:
-    """The trade word that a token is, spells badly or abbreviates."""
-    return _kept("trade", token, _TRADE)
 
+def named(rows: DataFrame) -> DataFrame:
+    """name, legal of rows with brand and legal, as :func:`common_words` asks."""
+    return rows.select(F.explode(F.array(F.struct(F.col("brand").alias("name"), F.lit(False).alias("legal")), F.struct(F.col("legal").alias("name"), F.lit(True).alias("legal")))).alias("x")).select("x.*")
 
-def legal_word(token: str) -> bool:
-    """Whether a token belongs to a company's legal form."""
-    return token in LEGAL_SHORT or _kept("legal", token, _LEGAL) is not None
 
+class Words:
+    """The common words, and what a token as typed stands for."""
 
-def brand_parts(text: str | None) -> tuple[list[str], str]:
+    def __init__(self, learnt: Iterable[tuple[str, int, int]] = ()):
+        canon: dict[str, str] = {}
+        count: dict[str, int] = {}
+        self.form: set[str] = set()
+        for word, brands, companies in learnt:
+            if word in LINKING:
+                continue
+            form = companies > FORM_RATIO * brands
+            # A word is another one typed badly if it is far rarer and of the same kind.
+            fuller = tuple(w for w, n in count.items() if brands + companies <= RARER * n and (w in self.form) == form)
+            head = _closest(word, fuller) if len(word) >= 3 else None
+            canon[word] = head or word
+            if head is None:
+                count[word] = brands + companies
+                if form:
+                    self.form.add(word)
+        heads = tuple(count)
+        self.canon, self.heads = canon, heads
+        self.short = tuple(w for w in heads if len(w) <= 4)
+        self.known: dict[str, str | None] = {}
+
+    def common(self, token: str) -> str | None:
+        """The common word that a token is, spells badly or abbreviates."""
+        got = self.canon.get(token)
+        if got is not None:
+            return got
+        if token not in self.known:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            self.known[token] = _closest(token, self.heads)
+        return self.known[token]
+
+    def ending(self, token: str) -> bool:
+        """Whether a word at a company's end is a short common word typed badly."""
+        return len(token) <= 5 and any(within(token, w, 1) for w in self.short)
+
+
+def brand_parts(text: str | None, words: Words) -> tuple[list[str], str]:
     """Core words and trade (its words in alphabetical order) of a brand."""
     if text is None or text.strip().lower() in NOTHING:
         return [], ""
@@ -138,17 +170,16 @@ def brand_parts(text: str | None) -> tuple[list[str], str]:
     if "," in text:  # "Trade, The Name" and "Name, The"
         head, _, tail = text.partition(",")
         t = f"{fold(tail)} {fold(head)}"
-    words = [w for w in t.split() if w not in ("the", "by", "and", "of", "inc", "llc", "franchise", "franchises", "tm")]
+    all_ = [w for w in t.split() if w not in LINKING]
     core, trade = [], []
-    for w in words:
-        x = trade_word(w)
-        # A name's first word is a trade only if the name was turned round.
-        if x and not (x in ("day", "play", "body", "first") and not core):
-            trade.append(x)
-        else:
+    for w in all_:
+        x = words.common(w)
+        if x is None:
             core.append(w)
+        elif x not in words.form:
+            trade.append(x)
     if not core:
-        core, trade = words, []
+        core, trade = all_, []
     return core, " ".join(sorted(set(trade)))
 
 
@@ -157,7 +188,7 @@ def without_form(text: str) -> str:
     return _STATE_FORM.sub("", text)
 
 
-def company_parts(text: str | None) -> tuple[str, str]:
+def company_parts(text: str | None, words: Words) -> tuple[str, str]:
     """Core of a company's name, and the trading name given with it."""
     if text is None or text.strip().lower() in NOTHING:
         return "", ""
@@ -165,10 +196,10 @@ def company_parts(text: str | None) -> tuple[str, str]:
     head = without_form(head)
     if "," in head:
         a, _, b = head.partition(",")
-        if any(not legal_word(w) for w in fold(b).split()):
+        if any(words.common(w) is None and not words.ending(w) for w in fold(b).split()):
             head = f"{b} {a}"
-    words = [w for w in fold(head).split() if not legal_word(w) and w not in STATES]
-    core = [w for w in words if not trade_word(w)] or words
+    all_ = [w for w in fold(head).split() if w not in LINKING]
+    core = [w for i, w in enumerate(all_) if words.common(w) is None and not (i > 0 and i >= len(all_) - 4 and words.ending(w))] or all_
     return " ".join(core), rest[0] if rest else ""
 
 
@@ -177,6 +208,14 @@ def is_initials(text: str, core: str) -> bool:
     return bool(core) and 2 <= len(letters) <= 6 and letters.isupper() and " " not in text.strip()
 
 
+def is_cut(text: str | None, core: list[str], initials: bool, most: int = 8) -> bool:
+    """Whether a brand is missing, in initials, cut off (its last core word
+    ends in a full stop) or one word of ``most`` letters at most."""
+    if not core or initials or (len(core) == 1 and len(core[0]) <= most):
+        return True
+    return (text or "").strip().endswith(".") and fold(text).split()[-1:] == core[-1:]
+
+
 def _pet_form(s: str, word: str) -> bool:
     """Whether s is the beginning of a word with the ending of a pet form."""
     for end in ("iess", "yss", "oss", "ies", "ys", "os", "es", "ie", "s", "y", "o", ""):
@@ -206,7 +245,8 @@ def fits(short: list[str], short_trade: str, core: list[str], trade: str, raw: s
                 for c in letters:
                     if c in rest:
                         rest.remove(c)
-                if len(rest) <= 1 + len(tl) and len(s) >= min(2, len(core)) and all(c in tl or c in full for c in rest):
+                strange = sum(c not in tl and c not in full for c in rest)  # a word of the legal form
+                if len(rest) <= 1 + len(tl) and len(s) >= min(2, len(core)) and strange <= (len(s) >= 4):
                     if sum(c in letters for c in s) >= min(len(s), len(letters)):
                         return True
         if any(_pet_form(s, w) for w in core):
@@ -215,6 +255,11 @@ def fits(short: list[str], short_trade: str, core: list[str], trade: str, raw: s
         a.startswith(b) or b.startswith(a) or within(a, b, 2) or _pet_form(a, b) or _pet_form(b, a) for a, b in zip(short, core, strict=True)
     ):
         return True
+    # Some of the words, in any order, apart or written as one.
+    if sum(map(len, short)) >= 5 and len(short) < len(core) and all(any(a == b or (len(a) >= 5 and within(a, b, 1)) for b in core) for a in short):
+        return True
+    if len(joined) >= 8 and len(short) <= 3 and any("".join(o) in full for o in permutations(short)):
+        return True
     if len(short) >= 2:
         # The first word in a pet form, the last whole: beside a word left out
         # before them, or written as one word.
@@ -226,7 +271,7 @@ def fits(short: list[str], short_trade: str, core: list[str], trade: str, raw: s
     if len(core) < len(short) <= len(core) + 2 and trade:
         # Words left over may be a trade too badly spelt to be known as one.
         rest = short[len(core) :]
-        if all(a == b or within(a, b, 2) for a, b in zip(short, core, strict=False)) and all(any(within(r, t, 3) for t in trade.split()) for r in rest):
+        if all(a == b or within(a, b, 2) for a, b in zip(short, core, strict=False)) and all(any(within(r, t, 3) or within(r, t[: len(r)], 2) for t in trade.split()) for r in rest):
             return True
     return within("".join(sorted(short)), "".join(sorted(core)), 4) and len(full) >= 12 and len(joined) >= 8
 
@@ -241,7 +286,7 @@ SHARD_NAMES = 5000
 
 def bound(n: int) -> int:
     """Edits allowed in a name of n letters."""
-    return 0 if n < 7 else 1 if n < 10 else 2
+    return 0 if n < 5 else 1 if n < 10 else 2
 
 
 def segments(n: int, k: int) -> list[tuple[int, int]]:
@@ -291,11 +336,17 @@ def probes_of(s: str) -> Iterator[tuple[int, int, str]]:
 
 
 def orders(words: list[str]) -> list[str]:
-    """The name with its words in other orders: all of up to three words, else
-    the rotations."""
+    """The name with its words in other orders: all of up to three words; of
+    more the rotations and the alphabetical order, in which :func:`stored`
+    keeps such names too, so that every order meets."""
     if len(words) <= 3:
         return list(dict.fromkeys("".join(p) for p in permutations(words)))
-    return list(dict.fromkeys("".join(words[i:] + words[:i]) for i in range(len(words))))
+    return list(dict.fromkeys([*("".join(words[i:] + words[:i]) for i in range(len(words))), "".join(sorted(words))]))
+
+
+def stored(words: list[str]) -> list[str]:
+    """The forms a name is stored under."""
+    return list(dict.fromkeys(["".join(words), *(["".join(sorted(words))] if len(words) > 3 else [])]))
 
 
 class Trie:
@@ -354,9 +405,9 @@ def trie_join(names: DataFrame, buckets: int | None = None, shard_names: int = S
                 rows = []
                 for name in pdf["name"]:
                     words = name.split()
-                    s = "".join(words)
-                    for n, i, piece in shards_of(s):
-                        rows.append((f"{n}.{i}.{piece}", True, name, s))
+                    for s in stored(words):
+                        for n, i, piece in shards_of(s):
+                            rows.append((f"{n}.{i}.{piece}", True, name, s))
                     for form in orders(words) if probing else ():
                         for n, i, piece in probes_of(form):
                             rows.append((f"{n}.{i}.{piece}", False, name, form))

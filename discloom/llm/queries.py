@@ -15,6 +15,7 @@ QUERIES = {
     "p3_matches": lambda s, d: crossmatch.confident(table(s, d, "wi_filings"), table(s, d, "mn_filings")),
     "p3_filings": lambda s, d: crossmatch.filings(table(s, d, "wi_filings"), table(s, d, "mn_filings")),
     "p5_found": lambda s, d: variants.links(table(s, d, "franchisors"), table(s, d, "filing_metadata")),
+    "p5_members": lambda s, d: variants.members(table(s, d, "franchisors"), table(s, d, "filing_metadata")),
     "p6_found": lambda s, d: survivor.survivors(table(s, d, "fdds")),
     "p6_untimed_latest": lambda s, d: survivor.untimed_latest(table(s, d, "fdds")),
     "p8_found": lambda s, d: leaks.leaks(table(s, d, "documents"), table(s, d, "eval_items")),

@@ -25,7 +25,7 @@ def test_trie_and_shards_find_every_close_name(s, data):
 
 def test_trie_join_by_brute_force(spark):
     rows = pq.read_table("/root/testdata/sf0.001/franchisors.parquet").column("brand_name").to_pylist()
-    names = sorted({" ".join(N.brand_parts(r)[0]) for r in rows} - {""})[:60] + ["alpha beta gamma", "gamma alpha betta", "alphabetagamma"]
+    names = sorted({" ".join(N.brand_parts(r, N.Words())[0]) for r in rows} - {""})[:60] + ["alpha beta gamma", "gamma alpha betta", "alphabetagamma"]
     df = spark.createDataFrame([(n, "x") for n in [*names, names[0]]] + [(None, "x"), ("", "x")], "name string, a string")
     got = {(r.a, r.b): r.distance for r in N.trie_join(df).collect()}
     want = {}
@@ -33,8 +33,7 @@ def test_trie_join_by_brute_force(spark):
         for b in names[i + 1 :]:
             x, y = sorted((a, b))
             ja, jb = (x, y) if len(x.replace(" ", "")) >= len(y.replace(" ", "")) else (y, x)
-            s = jb.replace(" ", "")
-            d = min((k for o in N.orders(ja.split()) for k in range(3) if N.within(o, s, k) and k <= N.bound(len(o))), default=None)
+            d = min((k for o in N.orders(ja.split()) for t in N.stored(jb.split()) for k in range(3) if N.within(o, t, k) and k <= N.bound(len(o))), default=None)
             if d is not None:
                 want[(x, y)] = d
     assert {k: v for k, v in want.items() if k not in got} == {}
@@ -42,14 +41,35 @@ def test_trie_join_by_brute_force(spark):
     assert N.trie_join(df.limit(0)).count() == 0
 
 
+WORDS = N.Words(
+    [(w, 1, 50) for w in ("llc", "franchise", "systems", "inc", "holdings", "lp", "co", "delaware", "company", "limited", "liability")]
+    + [(w, 40, 30) for w in ("oil", "change", "tire", "center", "grill", "coffee", "house", "lawn", "care", "yoga", "studio", "pizza")]
+)
+
+
 def test_name_parts():
-    assert N.brand_parts("The Oil Change by Dra & Nexi(TM)") == (["dra", "nexi"], "change oil")
-    assert N.brand_parts("Tire Center, Glachal's") == (["glachals"], "center tire")
-    assert N.brand_parts("N/A") == ([], "") and N.brand_parts(None) == ([], "")
-    assert N.company_parts("Wynoma Franchse Systems, LLC, a Delaware limited liability company")[0] == "wynoma"
-    assert N.company_parts("Holdings of Royal Nexo, L.P. d/b/a Royal Grill") == ("royal nexo", " Royal Grill")
+    assert N.brand_parts("The Oil Change by Dra & Nexi(TM)", WORDS) == (["dra", "nexi"], "change oil")
+    assert N.brand_parts("Tire Center, Glachal's", WORDS) == (["glachals"], "center tire")
+    assert N.brand_parts("N/A", WORDS) == ([], "") and N.brand_parts(None, WORDS) == ([], "")
+    assert N.company_parts("Wynoma Franchse Systems, LLLC, a Delaware limited liability company", WORDS)[0] == "wynoma"
+    assert N.company_parts("Holdings of Royal Nexo, L.P. d/b/a Royal Grill", WORDS) == ("royal nexo", " Royal Grill")
     assert N.fits(["nkp"], "", ["naskotal", "kratals"], "plumbing", "NKP") and N.fits(["naskos"], "coffee house", ["naskorho", "vix"], "coffee house", "")
     assert not N.fits(["zzz"], "", ["naskotal", "kratals"], "plumbing", "ZZZ")
+    assert N.fits(["eftirho", "zanihep"], "", ["green", "zanihep", "eftirho"], "", "")
+
+
+def test_common_words_are_learnt_and_a_hot_system_makes_none(spark):
+    starts = ["Alp", "Bor", "Cal", "Dun", "Eri", "Fox", "Gam", "Hel", "Ivo", "Jut"]
+    rows = [(f"{a}{i} Unique{a}{i} Bakery", False) for i, a in enumerate(starts * 2)] + [(f"{a}one Franchising LLC", True) for a in starts]
+    rows += [(f"Subway Sandwich{i} Corner", False) for i in range(40)] + [(None, False), ("", True)]
+    got = {w for w, _, _ in N.common_words(spark.createDataFrame(rows, "name string, legal boolean"))}
+    assert got == {"bakery", "franchising", "llc"}
+    assert N.common_words(spark.createDataFrame([], "name string, legal boolean")) == []
+
+
+def test_every_order_of_many_words_meets(spark):
+    df = spark.createDataFrame([("alder birch cedar dogwood elm",), ("cedar elm alder dogwood birch",), ("alder birch cedar dogwud elm",)], "name string")
+    assert {(r.a, r.b) for r in N.trie_join(df).collect()} >= {("alder birch cedar dogwood elm", "cedar elm alder dogwood birch")}
 
 
 def test_links(spark):
@@ -75,8 +95,8 @@ def _index(spark):
     wi = pq.read_table("/root/testdata/sf0.001/wi_filings.parquet").to_pylist()
     mn = pq.read_table("/root/testdata/sf0.001/mn_filings.parquet").to_pylist()
     make = lambda rows, k, b, m: spark.createDataFrame([(r[k], r[b], r[m]) for r in rows], "key string, brand string, legal string")
-    _, lc = X.documents(make(wi, "portal_id", "trade_name", "legal_name"), "l")
-    _, rc = X.documents(make(mn, "document_id", "franchise_name", "franchisor"), "r")
+    _, lc = X.documents(make(wi, "portal_id", "trade_name", "legal_name"), "l", WORDS)
+    _, rc = X.documents(make(mn, "document_id", "franchise_name", "franchisor"), "r", WORDS)
     return X.weighted(lc.unionByName(rc))
 
 
