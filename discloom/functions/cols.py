@@ -3,7 +3,9 @@ ordered rules, formats."""
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Mapping, Sequence
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -66,18 +68,18 @@ def nice_round(c: Column) -> Column:
 
 # How many periods make a year.
 PER_YEAR = {"weekly": 52, "monthly": 12, "daily": 365, "annual": 1}
+# Words that tell a period where no unit is given, in order.
+PERIOD_WORDS = (
+    (52, ("weekly", "per week", "awus", "aws ")),
+    (12, ("monthly", "per month")),
+    (365, ("daily", "revpar", "adr", "per day", "per night")),
+)
 
 
 def annual_multiplier(unit: Column, words: Column) -> Column:
     """Periods in a year by the unit, else by the words, else one."""
     w = F.lower(F.coalesce(words, F.lit("")))
-    has = lambda *ts: F.expr("false") if not ts else _any([w.contains(t) for t in ts])
-    said = (
-        F.when(has("weekly", "per week", "awus", "aws "), 52)
-        .when(has("monthly", "per month"), 12)
-        .when(has("daily", "revpar", "adr", "per day", "per night"), 365)
-        .otherwise(1)
-    )
+    said = ordered_when([(_any([w.contains(t) for t in words_]), n) for n, words_ in PERIOD_WORDS], 1)
     return F.coalesce(lookup(F.lower(F.trim(unit)), PER_YEAR), said).cast("int")
 
 
@@ -140,10 +142,22 @@ def slug(c: Column, most: int = 80, default: str = "unknown") -> Column:
     return F.coalesce(truthy(F.substring(s, 1, most), "text"), F.lit(default))
 
 
+@cache
+def _folding() -> tuple[str, str]:
+    """Lower-case Latin letters with marks, and the plain letters that their
+    compatibility decomposition leaves."""
+    pairs = []
+    for n in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", chr(n)) if not unicodedata.combining(x))
+        if chr(n).islower() and len(plain) == 1 and plain.isascii():
+            pairs.append((chr(n), plain.lower()))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
 def folded_slug(c: Column, drop: str) -> Column:
     """A slug of a name with accents folded and the words of ``drop`` (an
     alternation) taken from its end."""
-    ascii_ = F.translate(F.lower(c), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    ascii_ = F.translate(F.lower(c), *_folding())
     bare = F.regexp_replace(ascii_, rf"[\s,.]*\b(?:{drop})\b\.?[\s,.]*$", "")
     return F.regexp_replace(F.regexp_replace(bare, r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
 
@@ -243,3 +257,59 @@ def scan_quality(text: Column) -> Column:
     letters = F.length(F.regexp_replace(text, r"[^A-Za-z]", ""))
     printable = F.length(F.regexp_replace(text, r"[^\x20-\x7E\n\r\t]", ""))
     return F.coalesce((n < 200) | (letters < 0.5 * n) | (printable < 0.85 * n), F.lit(True))
+
+
+# The states and their codes.
+STATES = {
+    "alabama": "AL", "alaska": "AK", "arizona": "AZ", "arkansas": "AR", "california": "CA", "colorado": "CO", "connecticut": "CT", "delaware": "DE",
+    "district of columbia": "DC", "florida": "FL", "georgia": "GA", "hawaii": "HI", "idaho": "ID", "illinois": "IL", "indiana": "IN", "iowa": "IA",
+    "kansas": "KS", "kentucky": "KY", "louisiana": "LA", "maine": "ME", "maryland": "MD", "massachusetts": "MA", "michigan": "MI", "minnesota": "MN",
+    "mississippi": "MS", "missouri": "MO", "montana": "MT", "nebraska": "NE", "nevada": "NV", "new hampshire": "NH", "new jersey": "NJ",
+    "new mexico": "NM", "new york": "NY", "north carolina": "NC", "north dakota": "ND", "ohio": "OH", "oklahoma": "OK", "oregon": "OR",
+    "pennsylvania": "PA", "rhode island": "RI", "south carolina": "SC", "south dakota": "SD", "tennessee": "TN", "texas": "TX", "utah": "UT",
+    "vermont": "VT", "virginia": "VA", "washington": "WA", "west virginia": "WV", "wisconsin": "WI", "wyoming": "WY",
+}
+
+
+def state_code(c: Column) -> Column:
+    """The two-letter code of a state given by code or full name, case and
+    outer blanks aside; null for anything else."""
+    t = F.lower(F.trim(c))
+    return lookup(t, STATES | {v.lower(): v for v in STATES.values()})
+
+
+# Words in a label that make a value a percentage.
+PERCENT_WORDS = ("margin", "rate", "%", "percent", "conversion")
+
+
+def metric_text(value: Column, label: Column) -> Column:
+    """A value as its label asks: percent with one place, small amounts a
+    person and amounts under 1000 with cents, else whole dollars; a dash for
+    none.  Halves of a percentage's place go up."""
+    t = F.lower(F.coalesce(label, F.lit("")))
+    percent = _any([t.contains(w) for w in PERCENT_WORDS])
+    cents = F.concat(F.lit("$"), F.format_number(value, 2))
+    return (
+        F.when(value.isNull(), "—")
+        .when(percent, F.concat(F.format_string("%.1f", value), F.lit("%")))
+        .when(t.contains("per person") & (F.abs(value) < 100), cents)
+        .when(F.abs(value) >= 1000, F.concat(F.lit("$"), F.format_number(value, 0)))
+        .otherwise(cents)
+    )
+
+
+def html_escaped(c: Column) -> Column:
+    """Text safe between tags and in quoted attributes; null is empty."""
+    t = F.coalesce(c, F.lit(""))
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        t = F.replace(t, F.lit(a), F.lit(b))
+    return t
+
+
+def path_label(path: Column, rules: Sequence[tuple[str, str, str]], default: str = "UNKNOWN") -> Column:
+    """The label of the first rule that fits a path: (folder, name, label) asks
+    for a folder of that name or for a file name that contains one."""
+    parts = F.split(F.lower(path), r"[/\\\\]")
+    stem = F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", "")
+    tests = [(F.array_contains(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), n) if kind == "folder" else stem.contains(n), v) for kind, n, v in rules]
+    return ordered_when(tests, default)

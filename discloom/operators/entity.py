@@ -103,11 +103,13 @@ def new_or_update(incoming: DataFrame, known: DataFrame, key: str, year: str) ->
     return incoming.join(top, key, "left").withColumn("status", status).drop("__y")
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str, fill_only: Sequence[str] = ()) -> DataFrame:
+def upsert(old: DataFrame, new: DataFrame, key: str, fill_only: Sequence[str] = (), order: Sequence[str] = ()) -> DataFrame:
     """Old rows with the non-null values of new ones, and new keys appended.
-    Columns of ``fill_only`` keep what they have unless null or empty."""
+    Columns of ``fill_only`` keep what they have unless null or empty.  Of
+    several new rows of a key the last in ``order`` counts, then the largest in
+    the order of its columns."""
     cols = [c for c in old.columns if c != key]
-    n = latest(new, [key], [key]).select(key, *[F.col(c).alias(f"__{c}") for c in cols])
+    n = latest(new, [key], [*order, *[c for c in new.columns if c not in order]]).select(key, *[F.col(c).alias(f"__{c}") for c in cols])
     j = old.join(n, key, "full")
     pick = lambda c: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")).cast(old.schema[c].dataType), F.col(f"__{c}")) if c in fill_only else F.coalesce(F.col(f"__{c}"), F.col(c))
     return j.select(key, *[pick(c).alias(c) for c in cols])
@@ -121,3 +123,29 @@ def replace_by_key(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFr
 def append_new(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     """New keys are appended, the first row of each; known ones stay as they are."""
     return old.unionByName(latest(new.join(old, key, "left_anti"), [key], [order], smallest=True))
+
+
+def content_keys(df: DataFrame, slug: Column, date: Column, year: Column) -> DataFrame:
+    """Adds content_key and confidence: name and date (high), else name and
+    year (medium), else the name alone (low); null without a name."""
+    s, d, y = F.nullif(slug, F.lit("")), date.cast("string"), year.cast("string")
+    key = F.concat_ws("|", s, F.coalesce(d, y))
+    sure = F.when(d.isNotNull(), "high").when(y.isNotNull(), "medium").otherwise("low")
+    return df.withColumns({"content_key": F.when(s.isNotNull(), key), "confidence": F.when(s.isNotNull(), sure)})
+
+
+def first_of_content(df: DataFrame, sha: str, id_: str) -> DataFrame:
+    """id, same_as, by of rows (with :func:`content_keys`) that an earlier one
+    (smaller id) already holds: by its bytes, else by its content key unless
+    the key is of low confidence."""
+    own = df.select(F.col(id_).alias("id"), F.col(sha).alias("sha"), F.when(F.col("confidence") != "low", F.col("content_key")).alias("key"))
+    first = lambda c, n: own.filter(F.col(c).isNotNull()).groupBy(c).agg(F.min("id").alias(n))
+    j = own.join(first("sha", "a"), "sha", "left").join(first("key", "b"), "key", "left")
+    by = F.when(F.col("a") < F.col("id"), "sha").when(F.col("b") < F.col("id"), "content")
+    return j.select("id", F.when(by == "sha", F.col("a")).when(by == "content", F.col("b")).alias("same_as"), by.alias("by")).filter(F.col("by").isNotNull())
+
+
+def replace_issues(old: DataFrame, new: DataFrame, checked: DataFrame, key: str = "key", source: str = "source") -> DataFrame:
+    """Old issues without those of the (key, source) that were checked anew
+    (column pairs of ``checked``, with or without findings), and the new ones."""
+    return old.join(checked.select(key, source).distinct(), [key, source], "left_anti").unionByName(new)

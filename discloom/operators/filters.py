@@ -74,3 +74,12 @@ def within_budget(c: Column, most: float) -> Column:
 def visible(df: DataFrame, columns: Sequence[str], hidden: Sequence[str] = ()) -> DataFrame:
     """The chosen columns that exist, in their order."""
     return df.select(*[c for c in columns if c in df.columns and c not in hidden])
+
+
+def sort_key(c: str, descending: bool = False, nulls: str = "engine", nocase: bool = False) -> Column:
+    """A sort column: ``nulls`` first, last, or as small as the engine has them
+    (first upwards, last downwards); ``nocase`` orders without case."""
+    x = F.lower(c) if nocase else F.col(c)
+    if nulls == "engine":
+        nulls = "last" if descending else "first"
+    return getattr(x, f"{'desc' if descending else 'asc'}_nulls_{nulls}")()

@@ -97,3 +97,18 @@ def rates(df: DataFrame, group: Sequence[str], lost: Sequence[str], base: str, d
     total = sum((F.coalesce(F.col(c), F.lit(0)) for c in lost[1:]), F.coalesce(F.col(lost[0]), F.lit(0)))
     g = df.groupBy(*group).agg(F.sum(total).alias("lost"), F.sum(base).alias("base"))
     return g.withColumn("rate_pct", F.when(F.col("base") > 0, F.bround(F.col("lost") / F.col("base") * 100, digits)))
+
+
+def latest_breakdown(df: DataFrame, key: str, year: str, kind: str, value: str, legacy: str = "franchised", kinds: Sequence[str] = ("total", "franchised", "company-owned")) -> DataFrame:
+    """key, latest_year and the value of each kind in it (hyphens become
+    underscores); where the ``legacy`` kind has none, that of a row without a
+    kind.  Of several rows the largest value counts."""
+    own = df.filter(F.col(year).isNotNull())
+    per = own.groupBy(key, year).agg(
+        *[F.max(F.when(F.col(kind) == k, F.col(value))).alias(k.replace("-", "_")) for k in kinds],
+        F.max(F.when(F.col(kind).isNull(), F.col(value))).alias("__old"),
+    )
+    per = per.withColumn(legacy, F.coalesce(legacy, "__old")).drop("__old")
+    names = [k.replace("-", "_") for k in kinds]
+    top = per.groupBy(key).agg(F.max_by(F.struct(F.col(year).alias("latest_year"), *names), year).alias("x"))
+    return top.select(key, "x.*")

@@ -47,3 +47,20 @@ def first_seen(df: DataFrame, key: Column, order: str) -> DataFrame:
     settled by the key)."""
     keyed = df.withColumn("__k", key)
     return latest(keyed, ["__k"], [order], smallest=True).drop("__k")
+
+
+def tier(c: Column, tiers: Sequence[Sequence[object]]) -> Column:
+    """The number of the first tier that holds a value, one more than the last
+    for none."""
+    out = F
+    for i, t in enumerate(tiers):
+        out = out.when(c.isin(*t), i)
+    return out.otherwise(len(tiers))
+
+
+def best_ranked(df: DataFrame, group: Sequence[str], ranks: Sequence[Column], tie: str) -> DataFrame:
+    """The row of each group whose ranks come first, in order, then the
+    smallest ``tie``: an aggregate, so it combines before the shuffle."""
+    key = F.struct(*[r.alias(f"r{i}") for i, r in enumerate(ranks)], F.col(tie))
+    rest = [c for c in df.columns if c not in group]
+    return df.groupBy(*group).agg(F.min_by(F.struct(*rest), key).alias("__row")).select(*group, "__row.*").select(*df.columns)

@@ -65,6 +65,24 @@ def first_match(df: DataFrame, name: str, steps: Sequence[tuple[str, DataFrame]]
     return out.withColumns({name: value, f"{name}_by": how}).drop(*[f"__{x}{i}" for i in range(len(steps)) for x in "kv"])
 
 
+def tiered_names(df: DataFrame, name: str, known: DataFrame, least: int = 5, head: int = 4) -> DataFrame:
+    """key, match, how: the known key (column ``key``) of each different key in
+    ``name``: an equal one, else the shortest that contains it or that it
+    contains (``least`` characters at least), else the first that begins with
+    the same ``head`` characters.  Ties go to the first in text order; keys
+    without a match have null."""
+    own = df.select(F.col(name).alias("key")).filter(F.length("key") > 0).distinct()
+    k = known.select("key").filter(F.length("key") > 0).distinct()
+    pairs = contains_pairs(own, k, least)
+    rank = F.struct((F.col("how") != "equal").alias("far"), F.length("b_key").alias("n"), F.col("b_key").alias("k"))
+    near = pairs.groupBy(F.col("a_key").alias("key")).agg(F.min(F.struct(rank.alias("r"), F.col("how")))["r"].alias("r"))
+    near = near.select("key", F.col("r.k").alias("__near"), F.when(F.col("r.far"), "substring").otherwise("exact").alias("__how"))
+    begins = k.filter(F.length("key") >= head).groupBy(F.substring("key", 1, head).alias("__h")).agg(F.min("key").alias("__first"))
+    j = own.join(near, "key", "left").withColumn("__h", F.when(F.length("key") >= head, F.substring("key", 1, head))).join(begins, "__h", "left")
+    how = F.coalesce("__how", F.when(F.col("__first").isNotNull(), "prefix"))
+    return j.select("key", F.coalesce("__near", "__first").alias("match"), how.alias("how"))
+
+
 def lesser_peers(df: DataFrame, key: str, group: str, value: str, k: int) -> DataFrame:
     """key, peer, rank: of each row, the k rows of its group with the next
     smaller values (ties by key).
@@ -107,16 +125,17 @@ def other_medians(df: DataFrame, key: str, group: str, value: str) -> DataFrame:
     With the group's positive values sorted, leaving one out moves the middle
     by one place at most, so each row needs only the three middle values.
     """
-    from discloom.operators.stats import at_ranks
-
-    pos = df.withColumn("__v", F.when(F.col(value) > 0, F.col(value)))
-    w = W.partitionBy(group).orderBy("__v", key)
-    ranked = pos.filter(F.col("__v").isNotNull()).select(key, (F.row_number().over(w) - 1).alias("__i"))
-    n = F.col("n")
-    half = F.floor((n - 1) / 2)
-    mids = at_ranks(pos, [group], "__v", {"__m0": half - 1, "__m1": half, "__m2": half + 1, "__m3": half + 2}).withColumnRenamed("n", "__n")
+    from discloom.operators.stats import running_counts
+
+    pos = df.select(key, group, F.when(F.col(value) > 0, F.col(value)).alias("__v"))
+    run = running_counts(pos, [group], "__v")
+    half = F.floor((F.col("n") - 1) / 2)
+    at = lambda r: F.max(F.when((r >= F.col("__to") - F.col("__c")) & (r < F.col("__to")), F.col("__v")))
+    mids = run.groupBy(group).agg(F.max("n").alias("__n"), *[at(half + d).alias(f"__m{d + 1}") for d in (-1, 0, 1, 2)])
+    # Of equal values any may be left out, so the first one's rank serves for all.
+    ranked = run.select(group, "__v", (F.col("__to") - F.col("__c")).alias("__i"))
     sizes = df.groupBy(group).agg((F.count(F.lit(1)) - 1).alias("n_peers"))
-    rows = pos.select(key, group).join(ranked, key, "left").join(mids, group, "left").join(sizes, group)
+    rows = pos.join(ranked, [group, "__v"], "left").join(mids, group, "left").join(sizes, group)
     m, i = F.col("__n"), F.col("__i")
     h = F.floor((m - 1) / 2)
     # Ranks among the others: those after the row's own move up by one.

@@ -93,7 +93,7 @@ def latest_active(df: DataFrame, key: str, status: str, date: str, active: str =
     from discloom.operators.latest import latest
 
     own = df.filter(F.lower(F.trim(status)) == active).withColumn("__d", F.col(date) if legacy else any_date(F.col(date)))
-    return latest(own, [key], ["__d", date]).drop("__d")
+    return latest(own, [key], ["__d", date, *[c for c in df.columns if c != date]]).drop("__d")
 
 
 def non_unit_metric(scope: Column, words: Column, patterns: Sequence[str]) -> Column:
@@ -103,3 +103,25 @@ def non_unit_metric(scope: Column, words: Column, patterns: Sequence[str]) -> Co
     for p in patterns:
         hit = hit | words.rlike(p)
     return F.when(scope.isin("market-area", "ramp-snapshot"), True).when(scope == "franchisee", False).otherwise(F.coalesce(hit, F.lit(False)))
+
+
+def disambiguated(df: DataFrame, group: Sequence[str], label: str, period: str, most: int = 130, name: str = "label") -> DataFrame:
+    """Labels that stand more than once in a group get their period behind
+    them, its year if it has one; longer ones end in an ellipsis."""
+    n = df.groupBy(*group, label).agg(F.count(F.lit(1)).alias("__n"))
+    year = F.nullif(F.regexp_extract(period, r"\b(20\d{2})\b", 1), F.lit(""))
+    said = F.nullif(F.col(period), F.lit(""))
+    full = F.when((F.col("__n") > 1) & said.isNotNull(), F.concat(F.col(label), F.lit(" ("), F.coalesce(year, said), F.lit(")"))).otherwise(F.col(label))
+    cut = F.when(F.length(full) > most, F.concat(F.substring(full, 1, most - 3), F.lit("…"))).otherwise(full)
+    return df.join(n, [*group, label]).withColumn(name, cut).drop("__n")
+
+
+def indicated(c: Column, need: str, skip: str) -> Column:
+    """Whether a name has the wanted pattern and not the unwanted one."""
+    return F.coalesce(c.rlike(need) & ~c.rlike(skip), F.lit(False))
+
+
+def chartable(metric: Column, value: Column, words: Column, metrics: Sequence[str]) -> Column:
+    """Whether a figure is a currency metric with a value and not of one
+    numbered month."""
+    return F.coalesce(metric.isin(*metrics) & value.isNotNull() & ~F.lower(F.coalesce(words, F.lit(""))).rlike(r"month\s*\d+"), F.lit(False))

@@ -6,31 +6,18 @@ not depend on the order of rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from discloom.functions import cols as C
-from discloom.operators import entity, filters, growth, latest, relate, sections, stats, validate
+from discloom.operators import entity, filters, growth, latest, relate, stats, validate
+from discloom.plans.registry import Registry
 from discloom.session import table
 from discloom.sources import files, sinks
 from discloom.streaming import jobs
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
+_R = Registry()
+QUERIES, ORACLE, query = _R.queries, _R.oracle, _R.query
 
 
 def money_sum(c: str | Column) -> Column:
@@ -544,7 +531,7 @@ def q_needle_match(s, d):
     return table(s, d, "filing_metadata").select("meta_id", C.loosely_contains(F.col("raw_excerpt"), F.col("brand_name")).alias("said"))
 
 
-@query()
+@query("""SELECT portal_id, trim(regexp_replace(coalesce(legal_name, ''), '\\s+', ' ', 'g')) AS legal_name, nullif(details_url, '') AS link FROM (SELECT DISTINCT * FROM wi_filings)""")
 def q_html_rows(s, d):
     """Pages made of portal rows, read back as rows."""
     w = table(s, d, "wi_filings").distinct()
@@ -554,13 +541,6 @@ def q_html_rows(s, d):
     return t.select("portal_id", F.get("cells", F.lit(1)).alias("legal_name"), "link")
 
 
-@query()
-def q_section_scan(s, d):
-    """Item sections of the documents (pages parted at their page marks)."""
-    docs = table(s, d, "documents").select("doc_id", F.regexp_replace("text", r"(?m)^Page \d+$", "\f").alias("text"))
-    return sections.section_ranges(sections.pages_of(docs, "doc_id", "text"), "doc_id")
-
-
 # ------------------------------------------------------------- numbers
 
 

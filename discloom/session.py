@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -33,19 +34,37 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests on one machine) a folder of this
-    machine is used instead.
+    Where the setting is absent a local session (tests on one machine) uses a
+    folder of this machine; any other raises, as executors could not read it.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + os.path.join(tempfile.gettempdir(), f"discloom-{os.getuid()}")
     return at.rstrip("/")
 
 
+#: Tables written by each application, for :func:`drop_cuts`.
+_CUTS: dict[str, list[str]] = {}
+
+
+def drop_cuts(spark: SparkSession) -> int:
+    """Delete the tables this application has cut lineage with, and say how
+    many; to be called when the results built on them have been consumed."""
+    paths = _CUTS.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(conf).delete(at, True)
+    return len(paths)
+
+
 def write_cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later stages start
     from files that outlive a lost executor."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _CUTS.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.parquet(path)

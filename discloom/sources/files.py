@@ -44,10 +44,11 @@ def manifest(df: DataFrame, text: str, entry: str, root: str = "extractions") ->
     return df.select(F.explode(m[root]).alias("stem", "__e")).select("stem", "__e.*")
 
 
-def name_list(df: DataFrame, column: str = "value") -> DataFrame:
-    """Trimmed names, the first of those that differ in case only."""
-    t = df.select(F.trim(column).alias("name"), F.monotonically_increasing_id().alias("__i")).filter(F.length("name") > 0)
-    return t.groupBy(F.lower("name").alias("key")).agg(F.min_by("name", "__i").alias("name")).select("name")
+def name_list(df: DataFrame, column: str = "value", order: str | None = None) -> DataFrame:
+    """Trimmed names; of those that differ in case only the first by ``order``,
+    without it the first in text order."""
+    t = df.select(F.trim(column).alias("name"), (F.col(order) if order else F.lit(0)).alias("__i")).filter(F.length("name") > 0)
+    return t.groupBy(F.lower("name").alias("key")).agg(F.min(F.struct("__i", "name"))["name"].alias("name")).select("name")
 
 
 def html_tables(df: DataFrame, key: str, html: str, least_cells: int = 2) -> DataFrame:
@@ -77,7 +78,7 @@ def portal_lines(df: DataFrame, key: str, text: str, id_pattern: str = r"^\d{6}$
 
 def with_links(rows: DataFrame, links: DataFrame, href: str = "href", pattern: str = r"id=(\d+)") -> DataFrame:
     """Result rows with the link whose address holds their number."""
-    l = links.select(F.regexp_extract(href, pattern, 1).alias("id"), F.col(href).alias("link")).filter(F.col("id") != "").dropDuplicates(["id"])
+    l = links.select(F.regexp_extract(href, pattern, 1).alias("id"), F.col(href).alias("link")).filter(F.col("id") != "").groupBy("id").agg(F.min("link").alias("link"))
     return rows.join(l, "id", "left")
 
 

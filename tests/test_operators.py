@@ -127,7 +127,7 @@ def test_validation(spark):
     s = spark.createDataFrame([(1, "f", 10), (1, "c", 3), (1, "t", 15), (2, "f", 10), (2, "c", 3), (2, "t", 14)], "g int, k string, n int")
     assert [r.g for r in validate.sums_up(s, ["g"], "k", "n", ["f", "c"], "t").collect()] == [1]
     assert validate.audit_passes(validate.audit([(2, "x", spark.createDataFrame([(1, "d")], "key int, detail string"))]))
-    assert validate.hash_sample(s, "n", 2).collect() == validate.hash_sample(s, "n", 2).collect()
+    assert validate.hash_sample(s, 2).collect() == validate.hash_sample(s.repartition(5), 2).collect()
 
 
 def test_filter_spec_round_trip_and_nulls(spark):
@@ -140,10 +140,26 @@ def test_filter_spec_round_trip_and_nulls(spark):
 
 def test_sections(spark):
     long = "x " * 900
-    docs = spark.createDataFrame([(1, f"Item 1 ..... 3\nItem 2 ..... 4\fITEM 1 first\n{long}\fmore\fItem 2 second\n{long}"), (2, None), (3, "")], "doc int, text string")
-    got = {(r.doc, r.item): (r.first_page, r.last_page) for r in sections.section_ranges(sections.pages_of(docs, "doc", "text"), "doc").collect()}
-    assert got == {(1, 1): (2, 3), (1, 2): (4, 4)}
+    contents = "TABLE OF CONTENTS\nITEM 5 INITIAL FEES ..... 3\nITEM 6 OTHER FEES ..... 4"
+    four = "Item 1, Item 2, Item 3 and Item 4"
+    docs = spark.createDataFrame(
+        [
+            # With its title anywhere, beside four other references; ends where a higher item is headed with a title.
+            (1, f"{contents}\fsee ITEM 5 - Initial Fees {four} {long}\fmore\f6. OTHER FEES\n{long}\fITEM 7 ESTIMATED INITIAL INVESTMENT {long}"),
+            # Alone on a line; five other references are too many, so the last page that heads it.
+            (2, f"ITEM 5\n{four} Item 9 Item 8 {long}\fITEM 5\nshort\fend"),
+            (3, None),
+            (4, ""),
+            (5, f"as defined in Item 5 of it {long}"),
+        ],
+        "doc int, text string",
+    )
     pages = sections.pages_of(docs, "doc", "text")
+    got = {(r.doc, r.item): (r.first_page, r.last_page) for r in sections.section_ranges(pages, "doc").collect()}
+    assert got == {(1, 5): (2, 5), (1, 6): (4, 5), (1, 7): (5, 5), (2, 5): (2, 3)}
+    dated = spark.createDataFrame([(1, 1, "FRANCHISE DISCLOSURE DOCUMENT"), (1, 2, "Issuance Date: May 1. www.x.com 12345 Acme LLC"), (2, 1, "x")], "doc int, page_num int, text string")
+    assert sorted(map(tuple, sections.cover_page(dated, "doc").collect())) == [(1, 2, 5), (2, 1, 0)]
+    pages = spark.createDataFrame([(1, 1, "x"), (1, 2, "first"), (1, 3, "first")], "doc int, page_num int, text string")
     assert sections.cover_page(pages, "doc", [("(?i)first", 5)]).filter("doc = 1").first().page == 2
 
 
