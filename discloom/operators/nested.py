@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -39,7 +40,9 @@ class OpenText(str):
 
 
 _NUMBER = re.compile(r"-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?")
-_BLANK = re.compile(r"[\s,;]*")
+_BLANKS = {more: re.compile(rf"[\s{more}]*") for more in ("", ",", ":")}
+_PLAIN = re.compile(r'[^"\\]*')
+_BARE = re.compile(r"[^\s,\]}:]*")
 _ESCAPES = {'"': '"', "\\": "\\", "/": "/", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t"}
 
 
@@ -51,20 +54,19 @@ class _Reader:
         self.s, self.i, self.n = text, 0, len(text)
 
     def blank(self, more: str = "") -> None:
-        while self.i < self.n and (self.s[self.i].isspace() or self.s[self.i] in more):
-            self.i += 1
+        self.i = _BLANKS[more].match(self.s, self.i).end()
 
     def text(self) -> str:
         out, self.i = [], self.i + 1
         while self.i < self.n:
-            c = self.s[self.i]
-            if c == '"':
+            m = _PLAIN.match(self.s, self.i)
+            out.append(m.group())
+            self.i = m.end()
+            if self.i >= self.n:
+                break
+            if self.s[self.i] == '"':
                 self.i += 1
                 return "".join(out)
-            if c != "\\":
-                out.append(c)
-                self.i += 1
-                continue
             if self.i + 1 >= self.n:
                 break
             e = self.s[self.i + 1]
@@ -109,7 +111,7 @@ class _Reader:
                 raise EOFError  # its last digits may be missing
             t = m.group()
             return float(t) if any(x in t for x in ".eE") else int(t)
-        m = re.compile(r"[^\s,\]}:]*").match(self.s, self.i)
+        m = _BARE.match(self.s, self.i)
         self.i = max(m.end(), self.i + 1)
         return OpenText(m.group())
 
@@ -157,6 +159,19 @@ class _Reader:
                 return OpenArray(out)
 
 
+def _deep(f, *args):
+    """``f``, again with room for any depth of nesting if it ran out of it."""
+    try:
+        return f(*args)
+    except RecursionError:
+        before = sys.getrecursionlimit()
+        sys.setrecursionlimit(10**6)
+        try:
+            return f(*args)
+        finally:
+            sys.setrecursionlimit(before)
+
+
 def read_json(text: str | None):
     """The tree of a payload and its state: ``ok``, ``repaired``, ``empty``.
 
@@ -184,7 +199,13 @@ def read_json(text: str | None):
                 return None, "empty"
             state = "repaired"
     except RecursionError:
-        return None, "empty"
+        # Too deep for the strict parser: the forgiving one reads it in full.
+        at = min((k for k in (text.find("{"), text.find("[")) if k >= 0), default=-1)
+        try:
+            tree = _deep(_Reader(text[at:]).value)
+        except EOFError:
+            return None, "empty"
+        state = "repaired" if isinstance(tree, (OpenObject, OpenArray)) else "ok"
     if isinstance(tree, str) and tree.lstrip()[:1] in ("{", "["):
         return read_json(tree)
     return tree, state
@@ -255,20 +276,27 @@ def _code(v) -> str | None:
     return "n" + repr(v)
 
 
-def shred_tree(tree) -> dict[tuple[str, ...], tuple[list[int], list[int], list[str | None]]]:
+def shred_tree(tree, names: frozenset[str] | None = None) -> dict[tuple[str, ...], tuple[list[int], list[int], list[str | None]]]:
     """Leaf columns of one tree: path -> (repetition, definition, value).
 
     Values carry their JSON kind in front: ``s`` string, ``n`` number, ``b``
     boolean; None is a null or an absent value, told apart by the definition
     level.  Every object has the pseudo leaf ``#``, every array element that
-    is neither object nor array is a leaf of the element path.
+    is neither object nor array is a leaf of the element path.  With
+    ``names`` only values under these names and the marks of objects are kept.
     """
+    return _deep(_shred_tree, tree, names)
+
+
+def _shred_tree(tree, names):
     tree = _open_tree(tree)
     schema = _Schema()
     schema.learn(tree)
     out: dict = {}
 
     def emit(path, r, d, v):
+        if names is not None and path[-1:] and path[-1] not in names:
+            return
         c = out.get(path)
         if c is None:
             c = out[path] = ([], [], [])
@@ -415,9 +443,19 @@ def positions(reps: Sequence[int], defs: Sequence[int], depth: int) -> list[tupl
     return out
 
 
-def assemble_leaves(leaves: dict, children: Sequence[Child]) -> Iterator[tuple]:
-    """(kind, parent_no, child_no, label, {field: value}) of every closed
-    child object, from the level sequences of its leaf columns."""
+def leaf_names(children: Sequence[Child], fields: bool = True) -> frozenset[str]:
+    """Names of the leaves that tables of these children are rebuilt from."""
+    return frozenset({MARK, *(k.label for k in children), *(f.split(".")[-1] for k in children for f in (k.fields if fields else ()))})
+
+
+def assemble_leaves(leaves: dict, children: Sequence[Child], fields: bool = True) -> Iterator[tuple]:
+    """(kind, parent_no, child_no, label, {field: value}, path, place) of every
+    closed child object, from the level sequences of its leaf columns.
+
+    ``path`` names the way to the object with ``[]`` for each array, ``place``
+    has its position in each of them: the two together are unique in a record,
+    and all but the last place is that of the enclosing object.
+    """
 
     def column(path):
         c = leaves.get(path)
@@ -441,7 +479,8 @@ def assemble_leaves(leaves: dict, children: Sequence[Child]) -> Iterator[tuple]:
                     c = column((*base[:cut], kind.label))
                     if c:
                         outer.append((base[:cut].count(STEP), c))
-            wanted = {f: column((*base, *f.split("."))) for f in kind.fields}
+            wanted = {f: column((*base, *f.split("."))) for f in kind.fields} if fields else {}
+            way = ".".join(base).replace(f".{STEP}", STEP)
             reps, defs, vals = leaves[mark]
             for where, closed in zip(positions(reps, defs, depth), vals, strict=True):
                 if closed != "s1":
@@ -453,7 +492,7 @@ def assemble_leaves(leaves: dict, children: Sequence[Child]) -> Iterator[tuple]:
                     child_no, parent_no = 0, where[-1] if where else 0
                 else:
                     child_no, parent_no = where[-1], where[-2] if len(where) > 1 else 0
-                yield kind.kind, parent_no, child_no, label[1:], {f: c.get(where) for f, c in wanted.items()}
+                yield kind.kind, parent_no, child_no, label[1:], {f: c.get(where) for f, c in wanted.items()}, way, where
 
 
 FPR_CHILDREN = (
@@ -479,9 +518,28 @@ FPR_CHILDREN = (
 
 
 def assemble(shredded: DataFrame, key: str = "raw_id", children: Sequence[Child] = FPR_CHILDREN) -> DataFrame:
-    """Child rows of all kinds: key, child_kind, parent_no, child_no, label and
-    ``fields`` (map from field path to value with its kind in front)."""
-    src = shredded.select(key, "leaves")
+    """Child rows of all kinds: key, child_kind, parent_no, child_no, label,
+    ``fields`` (map from field path to value with its kind in front), path and
+    place (see :func:`assemble_leaves`)."""
+    leaves = lambda x: {tuple(c["path"]): (c["reps"], c["defs"], c["vals"]) for c in x or ()}
+    return _assembled(shredded.select(key, "leaves"), key, children, leaves, True)
+
+
+def children_of(df: DataFrame, key: str = "raw_id", payload: str = "payload", children: Sequence[Child] = FPR_CHILDREN, fields: bool = True) -> DataFrame:
+    """The same as :func:`assemble` of :func:`shred` in one pass that keeps no
+    leaf column which the asked tables do not need; without ``fields`` the maps
+    are empty."""
+    names = leaf_names(children, fields)
+
+    def leaves(text):
+        tree, _ = read_json(text)
+        return shred_tree(tree, names) if isinstance(tree, (dict, list)) else {}
+
+    return _assembled(df.select(key, F.col(payload).cast("string")), key, children, leaves, fields)
+
+
+def _assembled(src: DataFrame, key: str, children: Sequence[Child], leaves_of, fields: bool) -> DataFrame:
+    """Child rows of (key, something ``leaves_of`` makes leaf columns of)."""
     schema = T.StructType(
         [
             src.schema[key],
@@ -490,27 +548,30 @@ def assemble(shredded: DataFrame, key: str = "raw_id", children: Sequence[Child]
             T.StructField("child_no", T.IntegerType()),
             T.StructField("label", T.StringType()),
             T.StructField("fields", T.MapType(T.StringType(), T.StringType())),
+            T.StructField("path", T.StringType()),
+            T.StructField("place", T.ArrayType(T.IntegerType())),
         ]
     )
     kinds = tuple(children)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
-            ids, rows = [], []
-            for i, leaves in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                tree = {tuple(x["path"]): (x["reps"], x["defs"], x["vals"]) for x in leaves or ()}
-                for row in assemble_leaves(tree, kinds):
-                    ids.append(i)
-                    rows.append(row)
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            at, rows = [], []
+            for i, x in enumerate(b.column(1).to_pylist()):
+                mine = list(assemble_leaves(leaves_of(x), kinds, fields))
+                at += [i] * len(mine)
+                rows += mine
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([x.as_py() for x in ids], b.schema.field(0).type),
+                    b.column(0).take(pa.array(at, pa.int64())),
                     pa.array(cols[0], pa.string()),
                     pa.array(cols[1], pa.int32()),
                     pa.array(cols[2], pa.int32()),
                     pa.array(cols[3], pa.string()),
                     pa.array([list(x.items()) for x in cols[4]], pa.map_(pa.string(), pa.string())),
+                    pa.array(cols[5], pa.string()),
+                    pa.array([list(x) for x in cols[6]], pa.list_(pa.int32())),
                 ],
                 names=schema.names,
             )
@@ -538,7 +599,17 @@ def flag_of(c: Column) -> Column:
 
 def child_rows(df: DataFrame, key: str = "raw_id", payload: str = "payload") -> DataFrame:
     """p1_found: one row per child object, see :func:`assemble`."""
-    return assemble(shred(df, key, payload), key).select(key, "child_kind", "parent_no", "child_no", "label")
+    return children_of(df, key, payload, fields=False).select(key, "child_kind", "parent_no", "child_no", "label")
+
+
+def parents_table(df: DataFrame, key: str = "raw_id", payload: str = "payload", kind: str = "state_year_status") -> DataFrame:
+    """The enclosing objects of children that stand in arrays of arrays (a
+    state above its years): key, path, place, label, n_children; a child's
+    place without its last number is its parent's."""
+    rows = children_of(df, key, payload, fields=False).filter((F.col("child_kind") == kind) & (F.size("place") > 1))
+    above = F.regexp_replace("path", r"\.[^.\[\]]+\[\]$", "").alias("path")
+    place = F.slice("place", 1, F.size("place") - 1).alias("place")
+    return rows.groupBy(key, above, place).agg(F.min("label").alias("label"), F.count(F.lit(1)).alias("n_children"))
 
 
 def filings_table(df: DataFrame, key: str = "raw_id", payload: str = "payload", keep: Sequence[str] = ("fdd_id",)) -> DataFrame:
@@ -574,10 +645,12 @@ def filings_table(df: DataFrame, key: str = "raw_id", payload: str = "payload",
 
 def item19_table(df: DataFrame, key: str = "raw_id", payload: str = "payload") -> DataFrame:
     """Item-19 records with typed fields, tied to their filing by ``key``."""
-    rows = assemble(shred(df, key, payload), key, FPR_CHILDREN[:1])
+    rows = children_of(df, key, payload, FPR_CHILDREN[:1])
     f = lambda n: F.col("fields")[n]
     return rows.select(
         key,
+        "path",
+        "place",
         "parent_no",
         "child_no",
         F.col("label").alias("cohort_raw"),
@@ -593,12 +666,14 @@ def item19_table(df: DataFrame, key: str = "raw_id", payload: str = "payload") -
 
 def item20_table(df: DataFrame, key: str = "raw_id", payload: str = "payload") -> DataFrame:
     """Item-20 rows (system-wide and by state), tied to their filing."""
-    rows = assemble(shred(df, key, payload), key, FPR_CHILDREN[1:])
+    rows = children_of(df, key, payload, FPR_CHILDREN[1:])
     f = lambda n: F.col("fields")[n]
     yearly = F.col("child_kind") == "yearly_summary"
     return rows.select(
         key,
         "child_kind",
+        "path",
+        "place",
         "parent_no",
         "child_no",
         F.when(yearly, F.lit("TOTAL")).otherwise(F.col("label")).alias("state"),

@@ -10,6 +10,7 @@ QUERIES = {
     "p1_filings": lambda s, d: nested.filings_table(table(s, d, "raw_extractions")),
     "p1_item19_records": lambda s, d: nested.item19_table(table(s, d, "raw_extractions")),
     "p1_item20_rows": lambda s, d: nested.item20_table(table(s, d, "raw_extractions")),
+    "p1_item20_states": lambda s, d: nested.parents_table(table(s, d, "raw_extractions")),
     "p2_found": lambda s, d: units.foreign_units(table(s, d, "item19_records")),
     "p2_common_units": lambda s, d: units.common_units(table(s, d, "item19_records")),
     "p4_found": lambda s, d: drift.changes(table(s, d, "feed_rows")),

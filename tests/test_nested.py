@@ -158,3 +158,28 @@ def test_tables(spark):
     assert (b.state, b.outlet_type, b.outlets_end) == ("TOTAL", "total", 7)
     empty = df.limit(0)
     assert N.child_rows(empty).count() == 0 and N.filings_table(empty).count() == 0
+
+
+def test_one_pass_equals_two_steps(spark):
+    df = spark.read.parquet(DATA)
+    names = ["raw_id", "child_kind", "parent_no", "child_no", "label", "path", "place"]
+    text = lambda d: sorted(str((*(r[n] for n in names), sorted(r["fields"].items()))) for r in d.collect())
+    assert text(N.children_of(df)) == text(N.assemble(N.shred(df)))
+    rows = N.children_of(df, fields=False)
+    assert rows.count() == rows.select("raw_id", "path", "place").distinct().count()
+
+
+def test_parents_of_nested_arrays(spark):
+    years = lambda *ys: [{"year": y, "outlets_end": 1} for y in ys]
+    doc = {"item20_outlets": {"state_year_status": [{"state": "OH", "years": years(2019, 2020)}, {"state": "UT", "years": years(2019)}]}}
+    df = spark.createDataFrame([(1, json.dumps(doc))], "raw_id long, payload string")
+    got = sorted((r.path, tuple(r.place), r.label, r.n_children) for r in N.parents_table(df).collect())
+    assert got == [("item20_outlets.state_year_status[]", (0,), "OH", 2), ("item20_outlets.state_year_status[]", (1,), "UT", 1)]
+
+
+def test_any_depth_is_read():
+    child = '{"item19_fpr": {"records": [{"cohort_raw": "deep"}]}}'
+    text = '{"a": ' * 5000 + child + "}" * 5000
+    assert [r[:4] for r in N.assemble_leaves(N.shred_tree(N.read_json(text)[0]), N.FPR_CHILDREN)] == [("item19_record", 0, 0, "deep")]
+    cut = N.read_json("[" * 30000)[0]
+    assert N.shred_tree(cut) and list(N.assemble_leaves(N.shred_tree(cut), N.FPR_CHILDREN)) == []
