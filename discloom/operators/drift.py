@@ -44,11 +44,24 @@ def json_kind(v: Column) -> Column:
     return F.coalesce(names[F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)], F.lit("null"))
 
 
-def _explode(df: DataFrame, variant: str, prefix: str) -> DataFrame:
-    tvf = df.sparkSession.tvf
-    return df.lateralJoin(tvf.variant_explode(F.col(variant).outer())).select(
-        *[c for c in df.columns if c != variant], F.concat(F.lit(prefix), F.col("key")).alias("field"), F.col("value")
-    )
+def _once(df: DataFrame, name: str, c: Column) -> DataFrame:
+    """A column that is computed once however often it is used: a generator
+    of one row, which projections and filters are not merged with."""
+    return df.select("*", F.explode(F.array(c)).alias(name))
+
+
+def _objects(df: DataFrame, payload: str, keys: Sequence[str]) -> DataFrame:
+    """keys and __v, the VARIANT of each payload that is one JSON object."""
+    read = _once(df.select(*keys, payload), "__v", F.try_parse_json(F.col(payload))).drop(payload)
+    return read.filter(F.schema_of_variant("__v").startswith("OBJECT"))
+
+
+def _nested(v: Column, nested: str) -> Column:
+    """The objects of the array ``nested``, or the one object it is, as maps;
+    null for other elements."""
+    many = F.try_variant_get(v, f"$.{nested}", "array<variant>")
+    one = F.array(F.try_variant_get(v, f"$.{nested}", "variant"))
+    return F.transform(F.coalesce(many, one), lambda x: F.try_variant_get(x, "$", "map<string,variant>"))
 
 
 def path_values(df: DataFrame, payload: str = "payload", keys: Sequence[str] = ("row_id", "feed_id", "file_no", "item_kind"), nested: str = NESTED) -> DataFrame:
@@ -56,28 +69,23 @@ def path_values(df: DataFrame, payload: str = "payload", keys: Sequence[str] = (
     and, as ``records.x``, the keys of the objects in its array.
 
     Rows that are not one JSON object (null, blank, cut off, another kind, a
-    key given twice) are unreadable and give nothing.
+    key given twice) are unreadable and give nothing.  Each payload is parsed
+    once.
     """
-    read = df.select(*keys, F.try_parse_json(F.col(payload)).alias("__v"))
-    read = read.filter(F.schema_of_variant("__v").startswith("OBJECT"))
-    top = _explode(read, "__v", "")
-    inner = (
-        read.select(*keys, F.try_variant_get("__v", f"$.{nested}", "array<variant>").alias("__a"))
-        .filter(F.size("__a") > 0)
-        .select(*keys, F.explode("__a").alias("__v"))
-        .filter(F.schema_of_variant("__v").startswith("OBJECT"))
-    )
-    alone = read.select(*keys, F.try_variant_get("__v", f"$.{nested}", "variant").alias("__v")).filter(
-        F.schema_of_variant("__v").startswith("OBJECT")
-    )
-    return top.unionByName(_explode(inner, "__v", f"{nested}.")).unionByName(_explode(alone, "__v", f"{nested}."))
+    pairs = lambda m, before: F.transform(F.map_entries(m), lambda e: F.struct(F.concat(F.lit(before), e["key"]).alias("field"), e["value"].alias("value")))
+    none = F.expr("cast(array() as array<struct<field:string,value:variant>>)")
+    top = F.coalesce(pairs(F.try_variant_get("__v", "$", "map<string,variant>"), ""), none)
+    inner = F.flatten(F.transform(_nested(F.col("__v"), nested), lambda m: F.coalesce(pairs(m, f"{nested}."), none)))
+    read = _objects(df, payload, keys)
+    return read.select(*keys, F.explode(F.concat(top, F.coalesce(inner, none))).alias("__x")).select(*keys, "__x.field", "__x.value")
 
 
 def _unwrapped(v: Column) -> Column:
-    """The scalar of a value as text, out of a one-element array or an object
-    that holds it."""
+    """The scalar of a value as text, out of a list of one or an object that
+    holds it; longer lists stay whole."""
+    many = F.try_variant_get(v, "$", "array<variant>")
     return F.coalesce(
-        F.try_variant_get(v, "$[0]", "string"),
+        F.when(F.size(many) == 1, F.try_variant_get(v, "$[0]", "string")),
         F.try_variant_get(v, "$.value", "string"),
         F.try_variant_get(v, "$", "string"),
     )
@@ -143,12 +151,13 @@ def _name_likeness(a: Column, b: Column) -> Column:
     return F.greatest(jaccard, edits, F.when(ja.contains(jb) | jb.contains(ja), 0.8).otherwise(0.0))
 
 
-def changes(df: DataFrame, nested: str = NESTED) -> DataFrame:
+def changes(df: DataFrame, nested: str = NESTED, stats: DataFrame | None = None) -> DataFrame:
     """p4_found: feed_id, file_no, change_kind, field_old, field_new.
 
     Late and repeated rows belong to the file they name.  A file with no
     readable row has no fields.  The first file of a feed changes nothing.
     Ties between rename partners go to the alphabetically first names.
+    ``stats``: the :func:`file_statistics` of the same rows, if at hand.
     """
     files = df.select("feed_id", "file_no").distinct()
     by_feed = W.partitionBy("feed_id")
@@ -160,7 +169,7 @@ def changes(df: DataFrame, nested: str = NESTED) -> DataFrame:
         F.lead("file_no").over(by_feed.orderBy("file_no")).alias("next_file"),
     )
     values = path_values(df, nested=nested)
-    stats = write_cut(file_statistics(values), "drift-stats")
+    stats = write_cut(file_statistics(values), "drift-stats") if stats is None else stats
     present = stats.join(seq, ["feed_id", "file_no"])
     by_field = W.partitionBy("feed_id", "field").orderBy("seq")
     steps = present.select(
@@ -268,119 +277,107 @@ def changes(df: DataFrame, nested: str = NESTED) -> DataFrame:
 
 def canonical_names(found: DataFrame, stats: DataFrame) -> DataFrame:
     """item_kind, field, canonical: names joined by renames share the name
-    most rows use.
+    most rows use, of equals the first.  The links are closed on the cluster."""
+    from discloom.operators.entity import link_components
 
-    The graph has one node per field name of a kind, so its size is that of
-    the schemas, not of the data; it is closed on the driver.
-    """
-    spark = stats.sparkSession
-    kinds = stats.groupBy("item_kind", "field").agg(F.sum("n").alias("n")).collect()
+    node = lambda c: F.concat_ws("\u0001", "item_kind", c)
+    kinds = stats.groupBy("item_kind", "field").agg(F.sum("n").alias("n"))
     feeds = stats.select("feed_id", "item_kind").distinct()
-    edges = (
-        found.filter(F.col("change_kind") == "renamed")
-        .join(feeds, "feed_id")
-        .select("item_kind", "field_old", "field_new")
-        .distinct()
-        .collect()
-    )
-    parent = {(r.item_kind, r.field): (r.item_kind, r.field) for r in kinds}
-    weight = {(r.item_kind, r.field): r.n for r in kinds}
-
-    def root(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for e in edges:
-        a, b = root((e.item_kind, e.field_old)), root((e.item_kind, e.field_new))
-        if a != b:
-            if (weight[a], b) < (weight[b], a):
-                a, b = b, a
-            parent[b] = a
-    rows = [(k[0], k[1], root(k)[1]) for k in parent]
-    return spark.createDataFrame(rows, "item_kind string, field string, canonical string")
-
-
-def target_types(values: DataFrame, names: DataFrame) -> dict[tuple[str, str], str]:
-    """The type each canonical field is read as: the one at least nine tenths
-    of its non-null values fit (boolean before double), else string."""
+    edges = found.filter(F.col("change_kind") == "renamed").join(feeds, "feed_id").select(node("field_old").alias("a"), node("field_new").alias("b")).distinct()
+    parts = link_components(edges.unionByName(kinds.select(node("field").alias("a"), node("field").alias("b"))))
+    named = kinds.withColumn("node", node("field")).join(parts, "node")
+    best = named.groupBy("component").agg(F.max_by("field", F.struct("n", F.lit(-1) * F.length("field"), F.translate("field", _UP, _DOWN))).alias("canonical"))
+    return write_cut(named.join(best, "component").select("item_kind", "field", "canonical"), "canonical")
+
+
+#: Letters turned round, so that the largest is the first in the alphabet.
+_UP = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+_DOWN = _UP[::-1]
+#: Share of a field's values that a type must fit.
+FITS = 0.75
+
+
+def target_types(values: DataFrame, names: DataFrame) -> DataFrame:
+    """item_kind, canonical, kind: the type each canonical field is read as, the
+    one at least FITS of its non-null values fit (boolean before double), else
+    string."""
     t = _unwrapped(F.col("value"))
-    joined = values.join(F.broadcast(names), ["item_kind", "field"])
-    rows = (
-        joined.groupBy("item_kind", "canonical")
-        .agg(
-            F.count(t).alias("n"),
-            F.count(as_flag(t)).alias("flags"),
-            F.count(as_number(t)).alias("numbers"),
-            F.count_if((json_kind(F.col("value")) == "array") & (F.col("field") == NESTED)).alias("lists"),
-        )
-        .collect()
+    joined = values.join(names, ["item_kind", "field"]).withColumn("__t", t)
+    rows = joined.groupBy("item_kind", "canonical").agg(
+        F.count("__t").alias("n"),
+        F.count(as_flag(F.col("__t"))).alias("flags"),
+        F.count(as_number(F.col("__t"))).alias("numbers"),
+        F.count_if((json_kind(F.col("value")).isin("array", "object")) & (F.col("field") == NESTED)).alias("lists"),
     )
-    out = {}
-    for r in rows:
-        kind = "string"
-        if r.n and r.numbers >= 0.9 * r.n:
-            kind = "double"
-        if r.n and r.flags >= 0.9 * r.n:
-            kind = "boolean"
-        out[(r.item_kind, r.canonical)] = "string" if r.lists else kind
-    return out
+    enough = lambda c: (F.col("n") > 0) & (F.col(c) >= FITS * F.col("n"))
+    kind = F.when(F.col("lists") > 0, "string").when(enough("flags"), "boolean").when(enough("numbers"), "double").otherwise("string")
+    return write_cut(rows.select("item_kind", "canonical", kind.alias("kind")), "types")
 
 
 def _typed(text: Column, kind: str) -> Column:
     return {"double": as_number, "boolean": as_flag}.get(kind, lambda c: c)(text)
 
 
+def schema_of(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(item_kind, field, canonical) and (item_kind, canonical, kind) of all
+    fields of all files."""
+    values = path_values(df)
+    stats = write_cut(file_statistics(values), "drift-stats")
+    names = canonical_names(changes(df, stats=stats), stats)
+    return names, target_types(values, names)
+
+
+def _columns(names: DataFrame, kinds: DataFrame, item_kind: str) -> list[tuple[str, str, list[str]]]:
+    """(canonical, kind, spellings) of the fields of a kind: the columns of its
+    tables, which the driver must know to declare them."""
+    rows = names.join(kinds, ["item_kind", "canonical"]).filter(F.col("item_kind") == item_kind).groupBy("canonical", "kind").agg(F.array_sort(F.collect_set("field")).alias("f"))
+    return sorted((r.canonical, r.kind, r.f) for r in rows.collect())
+
+
 def consistent_table(df: DataFrame, item_kind: str) -> DataFrame:
     """All rows of a kind in one table: row_id, feed_id, file_no and a typed
     column per canonical top-level field (names in alphabetical order).
 
     A row that cannot be read keeps its keys with nulls.  A value that does
-    not fit its column is null here and counted by :func:`failed_casts`.
+    not fit its column is null here and counted by :func:`failed_casts`.  The
+    objects in ``records`` have a table of their own, see
+    :func:`records_table`; beside it the field is a column of JSON text.
     """
     own = df.filter(F.col("item_kind") == item_kind)
-    values = path_values(own)
-    stats = file_statistics(values)
-    names = canonical_names(changes(own), stats)
-    kinds = target_types(values, names)
-    fields = sorted(c for k, c in kinds if k == item_kind and not c.startswith(f"{NESTED}."))
-    spelled = {c: [] for c in fields}
-    for r in names.collect():
-        if r.canonical in spelled:
-            spelled[r.canonical].append(r.field)
-    v = F.try_parse_json(F.col("payload"))
+    cols = [c for c in _columns(*schema_of(own), item_kind) if not c[0].startswith(f"{NESTED}.")]
+    v = _once(own.select("row_id", "feed_id", "file_no", "payload"), "__v", F.try_parse_json("payload")).drop("payload")
     texts = F.transform_values(
-        F.try_variant_get(F.when(F.schema_of_variant(v).startswith("OBJECT"), v), "$", "map<string,variant>"),
+        F.try_variant_get(F.when(F.schema_of_variant("__v").startswith("OBJECT"), F.col("__v")), "$", "map<string,variant>"),
         lambda k, x: F.when(k == NESTED, F.to_json(x)).otherwise(_unwrapped(x)),
     )
-    src = own.select("row_id", "feed_id", "file_no", texts.alias("__m"))
-    return src.select(
-        "row_id",
-        "feed_id",
-        "file_no",
-        *[_typed(F.coalesce(*[F.col("__m")[f] for f in sorted(spelled[c])]), kinds[(item_kind, c)]).alias(c) for c in fields],
-    )
+    src = _once(v, "__m", texts)
+    pick = lambda names: F.coalesce(*[F.col("__m")[f] for f in names])
+    return src.select("row_id", "feed_id", "file_no", *[_typed(pick(f), kind).alias(c) for c, kind, f in cols])
+
+
+def records_table(df: DataFrame, item_kind: str, nested: str = NESTED) -> DataFrame:
+    """The objects in the array of all rows of a kind, in one table: row_id,
+    feed_id, file_no, record_no (0-based, all elements counted) and a typed
+    column per canonical field, without the array's name in front.
+
+    Elements that are no objects have no row; a lone object has number 0.
+    """
+    own = df.filter(F.col("item_kind") == item_kind)
+    cut = len(nested) + 1
+    cols = [(c[cut:], kind, [x[cut:] for x in f]) for c, kind, f in _columns(*schema_of(own), item_kind) if c.startswith(f"{nested}.")]
+    keys = ("row_id", "feed_id", "file_no")
+    each = _objects(own, "payload", keys).select(*keys, F.posexplode(_nested(F.col("__v"), nested)).alias("record_no", "__m")).filter(F.col("__m").isNotNull())
+    src = _once(each, "__t", F.transform_values("__m", lambda k, x: _unwrapped(x)))
+    pick = lambda names: F.coalesce(*[F.col("__t")[f] for f in names])
+    return src.select(*keys, "record_no", *[_typed(pick(f), kind).alias(c) for c, kind, f in cols])
 
 
 def failed_casts(df: DataFrame) -> DataFrame:
-    """item_kind, feed_id, file_no, field, n_failed, example: values that do
-    not fit the type of their column."""
-    values = path_values(df)
-    stats = file_statistics(values)
-    names = canonical_names(changes(df), stats)
-    kinds = target_types(values, names)
-    rows = [(k, c, t) for (k, c), t in kinds.items()] or [("", "", "string")]
-    types = df.sparkSession.createDataFrame(rows, "item_kind string, canonical string, kind string")
-    t = _unwrapped(F.col("value"))
-    joined = values.join(F.broadcast(names.join(types, ["item_kind", "canonical"])), ["item_kind", "field"])
-    bad = joined.filter(
-        t.isNotNull()
-        & (
-            ((F.col("kind") == "double") & as_number(t).isNull())
-            | ((F.col("kind") == "boolean") & as_flag(t).isNull())
-        )
-    )
-    return bad.groupBy("item_kind", "feed_id", "file_no", "field").agg(
-        F.count(F.lit(1)).alias("n_failed"), F.min(t).alias("example")
-    )
+    """item_kind, feed_id, file_no, field, kind, n_failed, example: values that
+    do not fit the type of their column, the smallest in text order as
+    example."""
+    names, kinds = schema_of(df)
+    joined = path_values(df).join(names.join(kinds, ["item_kind", "canonical"]), ["item_kind", "field"]).withColumn("__t", _unwrapped(F.col("value")))
+    t = F.col("__t")
+    bad = ((F.col("kind") == "double") & as_number(t).isNull()) | ((F.col("kind") == "boolean") & as_flag(t).isNull())
+    return joined.filter(t.isNotNull() & bad).groupBy("item_kind", "feed_id", "file_no", "field", "kind").agg(F.count(F.lit(1)).alias("n_failed"), F.min("__t").alias("example"))

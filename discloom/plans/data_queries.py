@@ -17,6 +17,7 @@ QUERIES = {
     "p4_item7_table": lambda s, d: drift.consistent_table(table(s, d, "feed_rows"), "item7_investment"),
     "p4_item6_table": lambda s, d: drift.consistent_table(table(s, d, "feed_rows"), "item6_ongoing_fees"),
     "p4_item19_table": lambda s, d: drift.consistent_table(table(s, d, "feed_rows"), "item19_fpr"),
+    "p4_item19_records": lambda s, d: drift.records_table(table(s, d, "feed_rows"), "item19_fpr"),
     "p4_failed_casts": lambda s, d: drift.failed_casts(table(s, d, "feed_rows")),
 }
 ORACLE = {

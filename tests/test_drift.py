@@ -78,3 +78,20 @@ def test_consistent_table(spark):
     assert {r.row_id: (r.total, r.ok) for r in t.collect()}[21] == (1200.0, False)
     bad = D.failed_casts(df).collect()
     assert [(r.field, r.n_failed, r.example) for r in bad] == [("Total", 1, "n/a")]
+
+
+def test_records_have_a_typed_table(spark):
+    df = feed(
+        spark,
+        (1, [{"records": [{"reporting_year": "2019", "ok": "yes"}, 7, {"reporting_year": 2020}], "x": [1, 2]}] * 4),
+        (2, [{"records": {"reportingYear": "2021"}}, {"records": [{"reportingYear": "soon"}]}, {"records": None}, "{"]),
+        kind="item19_fpr",
+    )
+    t = D.records_table(df, "item19_fpr")
+    assert t.columns == ["row_id", "feed_id", "file_no", "record_no", "ok", "reporting_year"]
+    rows = sorted((r.row_id, r.record_no, r.reporting_year, r.ok) for r in t.collect())
+    assert rows[:2] == [(1, 0, 2019.0, True), (1, 2, 2020.0, None)] and rows[-2:] == [(5, 0, 2021.0, None), (6, 0, None, None)]
+    bad = [(r.field, r.kind, r.n_failed, r.example) for r in D.failed_casts(df).collect()]
+    assert bad == [("records.reportingYear", "double", 1, "soon")]
+    assert D.consistent_table(df, "item19_fpr").filter("row_id = 1").first().x == "[1,2]"
+    assert D.records_table(df.limit(0), "item19_fpr").count() == 0
