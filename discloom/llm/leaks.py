@@ -2,8 +2,9 @@
 
 Every run of words of the corpus gets a SimHash fingerprint, and so does every
 run of the items.  A multi-index of Hamming blocks (four blocks of 16 bits)
-finds all item windows within radius 3 of a corpus window, then shingles and an
-alignment of the words around the pair decide.
+finds all item windows within radius 3 of a corpus window, then the weighted
+similarity of the shingles around the pair verifies it, and an alignment of the
+words tests the definition (at most one word in eight altered).
 
 The window is the longest run that any case must leave unaltered: a passage of
 n words with e = floor(n/8) altered ones holds a run of at least
@@ -26,7 +27,10 @@ each.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -222,17 +226,21 @@ class Items:
         self.origin = cat(begin, np.int64)
         self.stream = cat([np.array(t) for t in self.texts], np.int64)
         self.index = HammingIndex(cat(prints, np.uint64))
-        self.bound: dict[int, tuple[frozenset, int]] = {}
-
-    def shingles(self, k: int) -> tuple[frozenset, int]:
-        """Words around stored window k and how many different ones a case
-        without a long run must share with the corpus there (each of three
-        alterations takes one)."""
+        self.bound: dict[int, tuple[frozenset, float]] = {}
+        seen = Counter(w for t in self.texts for w in set(t))
+        self.weight = {w: math.log(1 + len(self.texts) / n) for w, n in seen.items()}
+
+    def shingles(self, k: int) -> tuple[frozenset, float]:
+        """Shingles (of one word, weighted by how rare they are in the items)
+        around stored window k and the weight that a case without a long run
+        must share with the corpus there: each of three alterations takes one
+        shingle, at worst the heaviest."""
         got = self.bound.get(k)
         if got is None:
             t, q = self.texts[self.owner[k]], int(self.place[k])
             runs = [set(t[s : s + LEAST_WORDS]) for s in range(max(0, q + WINDOW - LEAST_WORDS), min(q, len(t) - LEAST_WORDS) + 1)]
-            got = self.bound[k] = (frozenset(t[max(0, q - LEAST_WORDS) : q + WINDOW + LEAST_WORDS]), min(map(len, runs)) - 3)
+            least = min(sum(w) - sum(sorted(w)[-3:]) for w in ([self.weight[x] for x in run] for run in runs))
+            got = self.bound[k] = (frozenset(t[max(0, q - LEAST_WORDS) : q + WINDOW + LEAST_WORDS]), least)
         return got
 
 
@@ -280,7 +288,7 @@ def search(items: Items, docs: list[tuple[object, str | None]]) -> list[tuple[in
         if run < LONG_RUN:
             around, least = items.shingles(kk)
             near = stream[max(lo, pp - LEAST_WORDS - 3) : min(hi, pp + WINDOW + LEAST_WORDS + 3)].tolist()
-            if len(around.intersection(near)) < least:
+            if sum(items.weight[x] for x in around.intersection(near)) < least - 1e-9:
                 continue
         text, q = items.texts[it], int(items.place[kk])
         span = 2 * len(text) + 8
@@ -291,6 +299,18 @@ def search(items: Items, docs: list[tuple[object, str | None]]) -> list[tuple[in
     return out
 
 
+#: The items last used by this worker, so that its next task need not build them.
+_READY: dict[str, Items] = {}
+
+
+def _ready(token: str, held) -> Items:
+    got = _READY.get(token)
+    if got is None or len(got.words.ids) > 1_000_000:
+        _READY.clear()
+        got = _READY[token] = Items(held.value)
+    return got
+
+
 def leaks(docs: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """p8_found: item_id, doc_id of every document that holds a passage of an
     item of at least 18 running words, one word in eight altered at most.
@@ -307,8 +327,8 @@ def leaks(docs: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS) ->
         part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else items
         held = spark.sparkContext.broadcast([(r.item_id, r.text) for r in part.select("item_id", "text").dropDuplicates().collect()])
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            ready = Items(held.value)
+        def run(batches: Iterator[pa.RecordBatch], held=held, token=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            ready = _ready(token, held)
             for batch in batches:
                 if len(ready.words.ids) > 1_000_000:  # the vocabulary met so far is dropped, not the words
                     ready = Items(held.value)

@@ -2,8 +2,9 @@
 
 Currency reasoning: rows with usable times are ordered by them; for the rest a
 precedence between values is learnt from timed rows (value a was followed by
-value b more often than the other way round), which gives a partial order per
-group, and the topologically latest value is taken.
+value b more often than the other way round) and closed over the values between,
+which gives a partial order per group, and the topologically latest value is
+taken.
 
 Each group is aggregated (max of a comparable key), never collected, so a
 group of any size is combined on the map side.
@@ -17,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from discloom.session import write_cut
+
 FIELDS = ("effective_date", "has_item19", "page_count")
 YEARS = (2000, 2030)
 
@@ -116,27 +119,39 @@ def learned_precedence(df: DataFrame, field: str) -> DataFrame:
     return seen.join(back, ["older", "newer"], "left").filter(F.col("n") > F.coalesce("m", F.lit(0))).select("older", "newer", "n")
 
 
+def transitive(rules: DataFrame) -> DataFrame:
+    """older, newer of all pairs that rules lead from one to the other, however
+    many lie between; values that lead to each other are not ordered.
+
+    Every round doubles the length of the ways, until none is new.
+    """
+    reach, n = write_cut(rules.select("older", "newer").distinct(), "precedence"), -1
+    while (m := reach.count()) != n:
+        n = m
+        far = reach.select(F.col("older"), F.col("newer").alias("mid")).join(reach.select(F.col("older").alias("mid"), "newer"), "mid").select("older", "newer")
+        reach = write_cut(reach.unionByName(far).distinct(), "precedence")
+    back = reach.select(F.col("newer").alias("older"), F.col("older").alias("newer"))
+    return reach.join(back, ["older", "newer"], "left_anti")
+
+
 def untimed_latest(df: DataFrame, field: str = "filing_state") -> DataFrame:
-    """group_id, latest, n_values, n_latest for groups with no usable time at
-    all: values that no learnt transition leads away from within their group.
+    """group_id, field, latest, n_values, n_latest for groups with no usable
+    time at all: values from which the learnt order leads to no other value of
+    their group, also by way of values the group does not have.
 
     The partial order may leave several; the smallest in text order is taken
-    and ``n_latest`` tells how many there were.  A cycle leaves none, then all
-    values count.
+    and ``n_latest`` tells how many there were (all, if nothing is known).
     """
     own = groups(df)
     timed = F.max(usable_time(F.col("parsed_at")))
     loose = own.groupBy("franchisor_id", "year").agg(timed.alias("t"), F.min("id").alias("group_id"), F.count(F.lit(1)).alias("n"))
     loose = loose.filter(F.col("t").isNull() & (F.col("n") > 1)).select("franchisor_id", "year", "group_id")
-    values = (
-        own.filter(usable_value(field))
-        .join(loose, ["franchisor_id", "year"])
-        .select("group_id", F.col(field).cast("string").alias("value"))
-        .distinct()
+    values = write_cut(
+        own.filter(usable_value(field)).join(loose, ["franchisor_id", "year"]).select("group_id", F.col(field).cast("string").alias("value")).distinct(), "untimed"
     )
-    rules = learned_precedence(df, field)
+    order = transitive(learned_precedence(df, field))
     older = (
-        values.join(rules, values["value"] == rules["older"])
+        values.join(order, values["value"] == order["older"])
         .join(values.select("group_id", F.col("value").alias("newer")), ["group_id", "newer"], "left_semi")
         .select("group_id", "value")
         .distinct()
@@ -144,7 +159,39 @@ def untimed_latest(df: DataFrame, field: str = "filing_state") -> DataFrame:
     )
     marked = values.join(older, ["group_id", "value"], "left").withColumn("old", F.coalesce("old", F.lit(False)))
     return marked.groupBy("group_id").agg(
-        F.coalesce(F.min(F.when(~F.col("old"), F.col("value"))), F.min("value")).alias("latest"),
+        F.lit(field).alias("field"),
+        F.min(F.when(~F.col("old"), F.col("value"))).alias("latest"),
         F.count(F.lit(1)).alias("n_values"),
         F.count_if(~F.col("old")).alias("n_latest"),
     )
+
+
+#: Fields whose values follow one another in an order that can be learnt.
+ORDERED = ("filing_state", "has_item19", "has_item20")
+
+
+def untimed_survivors(df: DataFrame, fields: Sequence[str] = ORDERED) -> DataFrame:
+    """:func:`untimed_latest` of several fields."""
+    out = None
+    for f in fields:
+        one = untimed_latest(df, f)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def untimed_sql(fields: Sequence[str] = ORDERED) -> str:
+    one = """
+SELECT * FROM (WITH RECURSIVE o AS (SELECT *, CAST({f} AS VARCHAR) AS v FROM r WHERE {f} IS NOT NULL),
+t AS (SELECT lag(v) OVER (PARTITION BY franchisor_id, yr ORDER BY parsed_at, retrieved_at, id) AS a, v AS b FROM o WHERE year(parsed_at) BETWEEN 2000 AND 2030),
+c AS (SELECT a, b, count(*) AS n FROM t WHERE a <> b GROUP BY ALL),
+u AS (SELECT c.a, c.b FROM c LEFT JOIN c d ON d.a = c.b AND d.b = c.a WHERE c.n > coalesce(d.n, 0)),
+w AS (SELECT a, b FROM u UNION SELECT w.a, u.b FROM w JOIN u ON u.a = w.b),
+p AS (SELECT a, b FROM w WHERE NOT EXISTS (SELECT 1 FROM w x WHERE x.a = w.b AND x.b = w.a)),
+l AS (SELECT franchisor_id, yr, min(id) AS group_id FROM r GROUP BY 1, 2 HAVING count(*) > 1 AND count(*) FILTER (WHERE year(parsed_at) BETWEEN 2000 AND 2030) = 0),
+z AS (SELECT DISTINCT l.group_id, o.v FROM o JOIN l USING (franchisor_id, yr)),
+m AS (SELECT z.*, EXISTS (SELECT 1 FROM p JOIN z y ON y.v = p.b WHERE p.a = z.v AND y.group_id = z.group_id) AS old FROM z)
+SELECT group_id, '{f}' AS field, min(v) FILTER (WHERE NOT old) AS latest, count(*) AS n_values, count(*) FILTER (WHERE NOT old) AS n_latest FROM m GROUP BY 1)"""
+    return """
+WITH r AS (SELECT * FROM (SELECT *, CASE WHEN filing_year BETWEEN 2000 AND 2030 THEN filing_year WHEN filing_year BETWEEN 1 AND 99 THEN filing_year + 2000
+    ELSE TRY_CAST(regexp_extract(local_path, '(?:^|[^0-9])(20[0-3][0-9])(?:[^0-9]|$)', 1) AS INTEGER) END AS yr FROM fdds WHERE franchisor_id IS NOT NULL) WHERE yr IS NOT NULL)
+""" + " UNION ALL ".join(one.format(f=f) for f in fields)

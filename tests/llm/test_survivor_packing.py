@@ -42,6 +42,10 @@ def test_survivors_equal_sql(spark):
     same(S.survivors(spark.read.parquet(f"{DATA}/fdds.parquet")), connection(), S.survivors_sql())
 
 
+def test_untimed_equals_sql(spark):
+    same(S.untimed_survivors(spark.read.parquet(f"{DATA}/fdds.parquet")), connection(), S.untimed_sql())
+
+
 def test_learned_precedence(spark):
     rows = []
     for g in range(3):
@@ -53,6 +57,38 @@ def test_learned_precedence(spark):
     assert got == {90: ("WI", 2, 1), 92: ("CA", 2, 2)}
 
 
+def test_the_order_goes_by_way_of_absent_values(spark):
+    """IL -> NY -> WI is learnt from neighbours only; a group of IL and WI has
+    no NY.  Values that lead to each other stay unordered."""
+    rows = []
+    for g in range(3):
+        rows += [(10 * g + 1, 100 + g, (2020, 1, 1), "IL"), (10 * g + 2, 100 + g, (2020, 2, 1), "NY")]
+        rows += [(100 + 10 * g, 200 + g, (2020, 1, 1), "NY"), (100 + 10 * g + 1, 200 + g, (2020, 2, 1), "WI")]
+    for i, (a, b) in enumerate((("AA", "BB"), ("BB", "CC"), ("CC", "AA"))):
+        rows += [(300 + 2 * i, 300 + i, (2020, 1, 1), a), (301 + 2 * i, 300 + i, (2020, 2, 1), b)]
+    rows += [(900, 400, None, "WI"), (901, 400, None, "IL"), (910, 401, None, "AA"), (911, 401, None, "CC")]
+    df = spark.createDataFrame([(*row(i, p, f=f)[:9], s, "x") for i, f, p, s in rows], FDDS)
+    got = {r.group_id: (r.latest, r.n_values, r.n_latest) for r in S.untimed_latest(df).collect()}
+    assert got == {900: ("WI", 2, 1), 910: ("AA", 2, 2)}
+    assert S.untimed_survivors(df.limit(0), ("filing_state",)).count() == 0
+
+
+def test_untimed_by_hidden_times(spark):
+    """Times of a quarter of the groups are hidden; their last values are known."""
+    import itertools
+
+    steps, rows, truth, i = ["draft", "filed", "review", "effective", "expired"], [], {}, 0
+    for g, (a, b) in enumerate(itertools.islice(itertools.cycle([(x, y) for x in range(5) for y in range(x + 1, 5)]), 200)):
+        hidden = g % 4 == 0
+        for place, v in enumerate((steps[a], steps[b])):
+            i += 1
+            rows.append((*row(i, None if hidden else (2020, 1 + place, 1), f=g)[:9], v, "x"))
+        if hidden:
+            truth[i - 1] = steps[b]
+    got = {r.group_id: r.latest for r in S.untimed_latest(spark.createDataFrame(rows, FDDS)).collect()}
+    assert got == truth
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=60))
 def test_packing_fits_and_wastes_little(lengths):
