@@ -231,6 +231,7 @@ def changes(df: DataFrame, nested: str = NESTED, stats: DataFrame | None = None)
         .groupBy("item_kind", "field", "feature")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    feats = write_cut(feats, "drift-features")
     total = feats.groupBy("item_kind", "field").agg(F.sum("n").alias("total"))
     profile = feats.join(total, ["item_kind", "field"]).select("item_kind", "field", "feature", (F.col("n") / F.col("total")).alias("p"))
     agreed = (
