@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from discloom.session import write_cut
+
 VOCABULARY = os.environ.get("DISCLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 # Fixed value: the published split pattern of this byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -124,15 +126,14 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", sizes: Sequence
     """
     sizes = tuple(sorted(sizes))
     top = sizes[-1]
-    counts = token_counts(df, key, text, vocabulary).filter(F.col("n_tokens") > 0)
+    counts = write_cut(token_counts(df, key, text, vocabulary).filter(F.col("n_tokens") > 0), "lengths")
     starts = F.sequence(F.lit(0).cast("bigint"), F.col("n_tokens") - 1, F.lit(top).cast("bigint"))
     pieces = counts.select(key, "n_tokens", F.posexplode(starts).alias("piece_no", "token_start")).select(
         key, "piece_no", "token_start", F.least(F.lit(top).cast("bigint"), F.col("n_tokens") - F.col("token_start")).alias("n_tokens")
     )
-    # The number of shards follows the length of all texts (a token has four
-    # characters or so), so their size is bounded.
-    total = df.agg(F.sum(F.length(text))).first()[0] or 0
-    shards = max(1, int(total // 4 // shard_tokens))
+    # The number of shards follows the tokens counted, so their size is bounded.
+    total = counts.agg(F.sum("n_tokens")).first()[0] or 0
+    shards = max(1, int(total // shard_tokens))
     spread = pieces.withColumn("__shard", F.pmod(F.xxhash64(key, "piece_no"), F.lit(shards)).cast("int"))
     schema = T.StructType(
         [
