@@ -83,11 +83,16 @@ def to_common_units(
     default_per_year: int = 1,
     default_scale: int = 1,
     offset: float = 0.0,
+    figure: str | None = None,
+    source: str | None = None,
+    source_defaults: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``per_year``, ``scale`` and ``value_usd_year``.
 
     The row's words come before the unit field, that before the default of the
-    source.  Nulls anywhere fall through to the next rule; a null value stays
+    source (``source_defaults``: the column ``source``, once each, per_year,
+    scale), that before the two defaults.  With ``figure`` a null value is read
+    from the last number in that text.  Nulls anywhere fall through to the next rule; a null value stays
     null.  Unknown spellings of the unit field count as not given.  Columns
     called like the three results are replaced; others pass through.
     """
@@ -105,14 +110,35 @@ def to_common_units(
     for at, groups in (("__tp", PERIODS), ("__up", PERIODS), ("__ts", SCALES), ("__us", SCALES)):
         dim = aliases(spark, groups, f"{at}v").withColumnRenamed("alias", f"{at}a")
         src = src.join(F.broadcast(dim), F.col(at) == F.col(f"{at}a"), "left").drop(f"{at}a")
+    src = src.withColumns({"__dp": F.lit(None).cast("int"), "__ds": F.lit(None).cast("int")})
+    if source is not None and source_defaults is not None:
+        own = source_defaults.select(source, F.col("per_year").alias("__dp"), F.col("scale").alias("__ds"))
+        src = src.drop("__dp", "__ds").join(own, source, "left")
+    amount = F.col(value).cast("double")
     return src.withColumns(
         {
-            "per_year": F.coalesce("__tpv", "__upv", F.lit(default_per_year)),
-            "scale": F.coalesce("__tsv", "__usv", F.lit(default_scale)),
+            "per_year": F.coalesce("__tpv", "__upv", "__dp", F.lit(default_per_year)),
+            "scale": F.coalesce("__tsv", "__usv", "__ds", F.lit(default_scale)),
         }
     ).withColumn(
-        "value_usd_year", F.col(value).cast("double") * F.col("per_year") * F.col("scale") + F.lit(offset)
-    ).drop("__w", *[f"{a}{b}" for a in ("__tp", "__up", "__ts", "__us") for b in ("", "v")])
+        "value_usd_year", (amount if figure is None else F.coalesce(amount, last_number(F.col(figure)))) * F.col("per_year") * F.col("scale") + F.lit(offset)
+    ).drop("__w", "__dp", "__ds", *[f"{a}{b}" for a in ("__tp", "__up", "__ts", "__us") for b in ("", "v")])
+
+
+#: The last number of a text, with its thousands.
+NUMBER = r"(-?[0-9][0-9,]*(?:\.[0-9]+)?)[^0-9]*$"
+
+
+def last_number(c: Column) -> Column:
+    """The last number of a text; null if there is none."""
+    return F.regexp_replace(F.regexp_extract(c, NUMBER, 1), ",", "").try_cast("double")
+
+
+def text_figures(df: DataFrame) -> DataFrame:
+    """id, figure, is_median of every row: the number in its raw text, and
+    whether that is its median."""
+    x = last_number(F.col("raw_text"))
+    return df.select("id", x.alias("figure"), F.coalesce(F.abs(x - F.col("value_median")) < 0.01, F.lit(False)).alias("is_median"))
 
 
 def foreign_units(df: DataFrame, metrics: Sequence[str] = MONEY_METRICS) -> DataFrame:

@@ -13,6 +13,7 @@ QUERIES = {
     "p1_item20_states": lambda s, d: nested.parents_table(table(s, d, "raw_extractions")),
     "p2_found": lambda s, d: units.foreign_units(table(s, d, "item19_records")),
     "p2_common_units": lambda s, d: units.common_units(table(s, d, "item19_records")),
+    "p2_text_figures": lambda s, d: units.text_figures(table(s, d, "item19_records")),
     "p4_found": lambda s, d: drift.changes(table(s, d, "feed_rows")),
     "p4_item7_table": lambda s, d: drift.consistent_table(table(s, d, "feed_rows"), "item7_investment"),
     "p4_item6_table": lambda s, d: drift.consistent_table(table(s, d, "feed_rows"), "item6_ongoing_fees"),
@@ -23,4 +24,6 @@ QUERIES = {
 ORACLE = {
     "p2_found": units.foreign_units_sql(),
     "p2_common_units": units.common_units_sql(),
+    "p2_text_figures": """SELECT id, f AS figure, coalesce(abs(f - value_median) < 0.01, false) AS is_median FROM (SELECT id, value_median,
+        TRY_CAST(replace(list_last(regexp_extract_all(raw_text, '-?[0-9][0-9,]*(?:[.][0-9]+)?')), ',', '') AS DOUBLE) AS f FROM item19_records)""",
 }

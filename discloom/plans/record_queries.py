@@ -375,6 +375,66 @@ def q_flattened(s, d):
     return i.select("fdd_id", validate.flattened(F.col("x"), "low", "high", "note").alias("f")).select("fdd_id", "f.low", "f.high")
 
 
+# ---------------------------------------------------- scopes, pairs, resuming
+
+
+@query("""SELECT fdd_id, id FROM item20_locations i WHERE state = 'TOTAL' AND outlet_type = 'total' AND year = (SELECT max(year) FROM item20_locations j WHERE j.fdd_id = i.fdd_id AND j.state = 'TOTAL' AND j.outlet_type = 'total')""")
+def q_latest_year_scoped(s, d):
+    i = table(s, d, "item20_locations").select("fdd_id", "id", "year", "state", "outlet_type")
+    return latest.latest_year_rows(i, ["fdd_id"], "year", (F.col("state") == "TOTAL") & (F.col("outlet_type") == "total")).select("fdd_id", "id")
+
+
+@query("""SELECT i.fdd_id, i.id FROM item20_locations i JOIN (SELECT fdd_id, max(year) AS y FROM item20_locations WHERE outlets_end IS NOT NULL GROUP BY 1) t ON t.fdd_id = i.fdd_id AND t.y = i.year WHERE i.outlets_end IS NOT NULL AND i.outlets_end > 0""")
+def q_latest_year_with_values(s, d):
+    i = table(s, d, "item20_locations").select("fdd_id", "id", "year", "outlets_end")
+    return latest.latest_year_rows(i, ["fdd_id"], "year", F.col("outlets_end").isNotNull()).filter("outlets_end > 0").select("fdd_id", "id")
+
+
+@query("""WITH p AS (SELECT fdd_id, cohort_raw, min(id) AS profit_id FROM item19_records WHERE metric_name = 'net_profit' AND cohort_raw IS NOT NULL GROUP BY ALL)
+          SELECT r.id, p.profit_id FROM item19_records r LEFT JOIN p ON p.fdd_id = r.fdd_id AND p.cohort_raw = r.cohort_raw WHERE r.metric_name IN ('gross_sales', 'total_revenue')""")
+def q_cohort_pairs(s, d):
+    """Each revenue figure with the first profit of its cohort."""
+    i = table(s, d, "item19_records").select("id", "fdd_id", "cohort_raw", "metric_name")
+    p = i.filter("metric_name = 'net_profit' and cohort_raw is not null").groupBy("fdd_id", "cohort_raw").agg(F.min("id").alias("profit_id"))
+    return i.filter(F.col("metric_name").isin("gross_sales", "total_revenue")).join(p, ["fdd_id", "cohort_raw"], "left").select("id", "profit_id")
+
+
+@query("""WITH m AS (SELECT regexp_replace(lower(brand_name), '[^a-z0-9]+', '', 'g') AS k, min(industry) AS v FROM franchisors WHERE coalesce(industry, '') NOT IN ('', 'other') GROUP BY 1)
+          SELECT f.id, CASE WHEN coalesce(f.industry, '') IN ('', 'other') THEN coalesce(m.v, f.industry) ELSE f.industry END AS industry FROM franchisors f LEFT JOIN m ON m.k = regexp_replace(lower(f.brand_name), '[^a-z0-9]+', '', 'g') AND m.k <> ''""")
+def q_fill_assigned(s, d):
+    """Only blank, missing and other industries take the assigned one."""
+    f = table(s, d, "franchisors").select("id", "industry", C.compact_key(F.col("brand_name")).alias("k"))
+    blank = F.coalesce("industry", F.lit("")).isin("", "other")
+    m = f.filter(~blank & (F.col("k") != "")).groupBy("k").agg(F.min("industry").alias("v"))
+    return f.join(m, "k", "left").select("id", F.when(blank, F.coalesce("v", "industry")).otherwise(F.col("industry")).alias("industry"))
+
+
+@query("""SELECT pdf, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM (SELECT id, franchisor_id || '-' || filing_year AS pdf FROM fdds) WHERE pdf IS NOT NULL GROUP BY 1 HAVING count(*) > 1""")
+def q_dup_id_lists(s, d):
+    f = table(s, d, "fdds").select("id", F.concat(F.col("franchisor_id").cast("string"), F.lit("-"), F.col("filing_year").cast("string")).alias("pdf")).filter("pdf is not null")
+    g = f.groupBy("pdf").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("id")).alias("x")).filter("n > 1")
+    return g.select("pdf", "n", F.array_join(F.transform("x", lambda v: v.cast("string")), ",").alias("ids"))
+
+
+@query("""WITH u AS (SELECT portal_id, legal_name, trade_name, 0 AS r FROM wi_filings WHERE status ILIKE 'registered' UNION ALL SELECT portal_id, legal_name, trade_name, 1 FROM wi_filings)
+          SELECT portal_id, legal_name, trade_name FROM u QUALIFY row_number() OVER (PARTITION BY portal_id ORDER BY r, legal_name NULLS FIRST, trade_name NULLS FIRST) = 1""")
+def q_union_searches(s, d):
+    w = table(s, d, "wi_filings").select("portal_id", "legal_name", "trade_name", "status")
+    first = w.filter(F.lower("status") == "registered").drop("status")
+    return files.searches([first, w.drop("status")], "portal_id")
+
+
+@query("""SELECT event_type, user_id, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) >= 20""")
+def q_cut_searches(s, d):
+    return files.cut_searches(table(s, d, "events").select("event_type", "user_id"), ["event_type", "user_id"], 20)
+
+
+@query("""SELECT id FROM fdds WHERE id NOT IN (SELECT fdd_id FROM item19_records WHERE needs_review = false AND fdd_id IS NOT NULL)""")
+def q_to_resume(s, d):
+    done = table(s, d, "item19_records").select(F.col("fdd_id").alias("id"), (~F.col("needs_review")).alias("ok"))
+    return sinks.to_resume(table(s, d, "fdds").select("id"), sinks.manifest_lines(done, "id"), "id")
+
+
 # ------------------------------------------------------------------ sections
 
 #: Pages of the documents: three paragraphs make a page.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,3 +95,72 @@ def inventory(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 def page_texts(spark: SparkSession, path: str) -> DataFrame:
     """page, text of text or HTML files read whole."""
     return spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("page"), F.col("value").alias("text"))
+
+
+def sqlite_table(spark: SparkSession, path: str, name: str, schema: str, parts: int = 8) -> DataFrame:
+    """A table of an SQLite file that every executor can reach, read in ranges
+    of its row numbers; ``schema`` names the columns wanted, as DDL."""
+    import sqlite3
+    from contextlib import closing
+
+    quoted = '"' + name.replace('"', '""') + '"'
+    with closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as con:
+        low, high = con.execute(f"SELECT coalesce(min(rowid), 0), coalesce(max(rowid), -1) FROM {quoted}").fetchone()
+    kind = T.StructType.fromDDL(schema)
+    columns = ", ".join('"' + c.replace('"', '""') + '"' for c in kind.names)
+    step = max(1, -(-(high - low + 1) // parts))
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for at in pdf["id"]:
+                with closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as con:
+                    cur = con.execute(f"SELECT {columns} FROM {quoted} WHERE rowid >= ? AND rowid < ?", (int(at), int(at) + step))
+                    while rows := cur.fetchmany(10_000):
+                        yield pd.DataFrame(rows, columns=kind.names)
+
+    return spark.range(low, high + 1, step, parts).mapInPandas(run, kind)
+
+
+def pdf_pages(df: DataFrame, key: str, content: str, most: int | None = None) -> DataFrame:
+    """key, page_num (from 1), text of PDF files given as bytes, of the first
+    ``most`` pages if it is set.  Needs the optional library pypdf."""
+    try:
+        import pypdf  # noqa: F401
+    except ImportError as e:
+        raise RuntimeError("reading PDF files needs the library pypdf on the driver and the executors") from e
+    src = df.select(key, content)
+    schema = T.StructType([src.schema[key], T.StructField("page_num", T.IntegerType()), T.StructField("text", T.StringType())])
+
+    def run(batches):
+        import io
+
+        import pandas as pd
+        from pypdf import PdfReader
+
+        for pdf in batches:
+            for k, data in zip(pdf[key], pdf[content], strict=True):
+                if data:
+                    texts = [p.extract_text() or "" for p in PdfReader(io.BytesIO(bytes(data))).pages[:most]]
+                    yield pd.DataFrame({key: [k] * len(texts), "page_num": range(1, len(texts) + 1), "text": texts})
+
+    return src.mapInPandas(run, schema)
+
+
+def searches(found: Sequence[DataFrame], key: str) -> DataFrame:
+    """Results of several searches, each key once: from the first search that
+    found it, there the first in the order of its columns."""
+    whole = None
+    for i, df in enumerate(found):
+        one = df.withColumn("__search", F.lit(i))
+        whole = one if whole is None else whole.unionByName(one)
+    rest = [c for c in whole.columns if c not in (key, "__search")]
+    first = whole.groupBy(key).agg(F.min(F.struct("__search", *rest)).alias("x"))
+    return first.select(key, *[F.col("x")[c].alias(c) for c in rest]).select(*found[0].columns)
+
+
+def cut_searches(df: DataFrame, search: Sequence[str], cap: int = 500) -> DataFrame:
+    """Searches that came back with as many rows as a page holds, so that more
+    may be behind: they must be asked again in parts."""
+    return df.groupBy(*search).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= cap)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from discloom.session import write_cut
@@ -59,3 +60,34 @@ def not_sent(df: DataFrame, sent: DataFrame, key: str) -> DataFrame:
 def with_missing_columns(df: DataFrame, ddl: dict[str, str]) -> DataFrame:
     """Columns that are not there yet, as nulls of their type."""
     return df.withColumns({c: F.lit(None).cast(t) for c, t in ddl.items() if c not in df.columns})
+
+
+def create_if_absent(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table at a path with at least the columns of ``schema`` (DDL): an
+    empty one is written where there is none, missing columns are null."""
+    wanted = T.StructType.fromDDL(schema)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        spark.createDataFrame([], wanted).write.parquet(path)
+    have = spark.read.parquet(path)
+    return with_missing_columns(have, {f.name: f.dataType.simpleString() for f in wanted.fields})
+
+
+def manifest_lines(done: DataFrame, key: str) -> DataFrame:
+    """key and its entry as one JSON text, to be appended after every batch."""
+    return done.select(key, F.to_json(F.struct(*[c for c in done.columns if c != key])).alias("entry"))
+
+
+def to_resume(todo: DataFrame, manifest: DataFrame, key: str, ok: str = "$.ok") -> DataFrame:
+    """What is still to do: keys whose entries, if any, never were ok."""
+    done = manifest.filter(F.get_json_object("entry", ok) == "true").select(key).distinct()
+    return todo.join(done, key, "left_anti")
+
+
+def copied_from(df: DataFrame, same: DataFrame, id_: str, columns: Sequence[str]) -> DataFrame:
+    """Rows that repeat an earlier one (``same``: id, same_as, by) with the
+    chosen columns of that one, and ``source_id`` and ``method`` to mark them."""
+    source = df.select(F.col(id_).alias("same_as"), *[F.col(c).alias(f"__{c}") for c in columns])
+    j = df.join(same.select(F.col("id").alias(id_), "same_as", "by"), id_).join(source, "same_as")
+    kept = [F.col(f"__{c}").alias(c) if c in columns else F.col(c) for c in df.columns]
+    return j.select(*kept, F.col("same_as").alias("source_id"), F.col("by").alias("method"))

@@ -214,3 +214,51 @@ def test_streams_equal_batches(spark, tmp_path):
     assert spark.table("tumb").agg(F.sum("n")).first()[0] == ev.count()
     log = spark.createDataFrame([("a", "failed"), ("a", "failed"), ("a", "failed"), ("b", "rate_limited"), ("b", "failed"), ("c", "ok")], "stem string, outcome string")
     assert {r.stem: r.state for r in jobs.attempts(log).collect()} == {"a": "given_up", "b": "retry", "c": "done"}
+
+
+def test_sqlite_tables_are_read_in_ranges(spark, tmp_path):
+    import sqlite3
+
+    from discloom.sources import files
+
+    at = str(tmp_path / "x.db")
+    con = sqlite3.connect(at)
+    con.execute('CREATE TABLE "a b" (id INTEGER, name TEXT, other BLOB)')
+    con.executemany('INSERT INTO "a b" VALUES (?, ?, NULL)', [(i, None if i == 3 else f"n{i}") for i in range(25)])
+    con.execute("CREATE TABLE empty_one (id INTEGER)")
+    con.commit()
+    con.close()
+    rows = sorted(map(tuple, files.sqlite_table(spark, at, "a b", "id bigint, name string", 4).collect()))
+    assert rows == [(i, None if i == 3 else f"n{i}") for i in range(25)]
+    assert files.sqlite_table(spark, at, "empty_one", "id bigint").count() == 0
+
+
+def test_pdf_needs_its_library(spark):
+    import importlib.util
+
+    import pytest
+
+    from discloom.sources import files
+
+    if importlib.util.find_spec("pypdf") is None:
+        with pytest.raises(RuntimeError, match="pypdf"):
+            files.pdf_pages(spark.createDataFrame([(1, b"")], "k int, c binary"), "k", "c")
+
+
+def test_create_resume_and_copies(spark, tmp_path):
+    from discloom.operators import entity
+    from discloom.sources import sinks
+
+    at = str(tmp_path / "t")
+    assert sinks.create_if_absent(spark, at, "id int, a string").count() == 0
+    spark.createDataFrame([(1, "x")], "id int, a string").write.mode("append").parquet(at)
+    assert sinks.create_if_absent(spark, at, "id int, a string, b double").first() == (1, "x", None)
+    done = sinks.manifest_lines(spark.createDataFrame([(1, True), (2, False), (2, True), (3, None)], "id int, ok boolean"), "id")
+    assert sorted(r.id for r in sinks.to_resume(spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "id int"), done, "id").collect()) == [3, 4]
+    df = spark.createDataFrame([(1, "h", "acme", "out1"), (2, "h", "b", None), (3, "g", "acme", None), (4, None, None, None)], "id int, sha string, slug string, out string")
+    keyed = entity.content_keys(df, F.col("slug"), F.lit(None), F.lit(2024))
+    same = entity.first_of_content(keyed, "sha", "id")
+    assert sorted(map(tuple, same.collect())) == [(2, 1, "sha"), (3, 1, "content")]
+    got = sorted((r.id, r.out, r.source_id, r.method) for r in sinks.copied_from(df, same, "id", ["out"]).collect())
+    assert got == [(2, "out1", 1, "sha"), (3, "out1", 1, "content")]
+    assert entity.first_of_content(keyed.limit(0), "sha", "id").count() == 0

@@ -37,3 +37,11 @@ def test_every_spelling_reaches_its_factor(spark):
     df = rows(spark, *[("gross_sales", f"Sales ({a.upper()}) x", None, None, None, 1.0) for a, _ in flat])
     got = {r.id: r.per_year for r in U.to_common_units(df).collect()}
     assert [got[i] for i in range(len(flat))] == [k for _, k in flat]
+
+
+def test_source_defaults_and_figures_in_text(spark):
+    rows = [(1, "a", None, "Sales 1,250.5 (stores)", None), (2, "a", 3.0, None, "weekly"), (3, "b", 2.0, None, None), (4, None, None, None, None)]
+    df = spark.createDataFrame(rows, "id int, src string, value_median double, raw_text string, unit_period string").selectExpr("*", "'' as metric_raw", "'' as notes")
+    own = spark.createDataFrame([("a", 12, 1000)], "src string, per_year int, scale int")
+    got = {r.id: r.value_usd_year for r in U.to_common_units(df, figure="raw_text", source="src", source_defaults=own).collect()}
+    assert got == {1: 1250.5 * 12 * 1000, 2: 3.0 * 52 * 1000, 3: 2.0, 4: None}
