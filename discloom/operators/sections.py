@@ -40,8 +40,12 @@ def pages_of(docs: DataFrame, doc: str, text: str, mark: str = "\f") -> DataFram
 def headings(pages: DataFrame, doc: str, titles: Mapping[int, str] = TITLES) -> DataFrame:
     """doc, page_num, item, others, contents, long: item headings by page;
     ``others`` counts the references to items beside one."""
-    found = F.array_compact(F.array(*[F.when(F.col("text").rlike(heading_pattern(i, t)), F.lit(i)) for i, t in titles.items()]))
-    return pages.select(
+    # Only numbers that stand where a heading may begin are looked at more closely.
+    numbers = F.concat(F.regexp_extract_all("text", F.lit(r"(?i)\bITEM\s+(\d{1,2})\b"), 1), F.regexp_extract_all("text", F.lit(r"(?m)^\s*(\d{1,2})\b"), 1))
+    pages = pages.select(doc, "page_num", "text", F.explode(F.array(F.array_distinct(numbers))).alias("__n"))
+    may = lambda i: F.array_contains("__n", str(i))
+    found = F.array_compact(F.array(*[F.when(may(i) & F.col("text").rlike(heading_pattern(i, t)), F.lit(i)) for i, t in titles.items()]))
+    return pages.filter(F.size("__n") > 0).select(
         doc,
         "page_num",
         F.explode(found).alias("item"),
